@@ -31,7 +31,7 @@ BLANKS = "[\\s\\u00a0\\ufeff]"
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(text, F.lit(" \t\r\n\u00a0\ufeff"))
 
 
 def _spans(cell: Column) -> Column:
@@ -74,25 +74,40 @@ def _qualifier_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}]+", " "))
 
 
-def _parts(cell: Column, blank_parts: bool) -> Column:
-    """array<string> of a cell's values; a lone comma counts as a separator here."""
-    if blank_parts:
-        loose = F.split(F.regexp_replace(cell, r"""["'\[\]]""", " "), f"(?:[;|/,]|{BLANKS})+")
-        return F.filter(loose, lambda v: v != "")
-    mark = _free_mark(cell)
-    masked = F.when(F.contains(cell, F.lit('"')), _masked(cell, mark)).otherwise(cell)
-    split = F.when(masked.rlike(r"[;|/\n\r]"), F.split(masked, r"[;|/\n\r]+")).otherwise(F.split(masked, ","))
-    spans = _spans(cell)
-    values = F.when(
-        F.contains(cell, F.lit('"')), F.transform(split, lambda p: _restored(_trim(p), spans, mark))
-    ).otherwise(F.transform(split, _trim))
-    values = F.when(_is_literal(cell), F.transform(literal_items(cell), _trim)).otherwise(values)
-    return F.filter(values, lambda v: v != "")
+def _code_parts(cell: Column) -> Column:
+    loose = F.split(F.regexp_replace(cell, r"""["'\[\]]""", " "), f"(?:[;|/,]|{BLANKS})+")
+    return F.filter(loose, lambda v: v != "")
+
+
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_items``, the values of ``_cell``; a lone comma counts as a separator here.
+
+    In steps, so that nothing is computed twice: an expression that is used more
+    than once isn't merged into its users.
+    """
+    keep, c = [x for x in rows.columns if x != "_cell"], F.col("_cell")
+    marked = rows.withColumns({"_mark": _free_mark(c), "_quoted": F.contains(c, F.lit('"')), "_literal": _is_literal(c)})
+    masked = marked.withColumn("_masked", F.when(F.col("_quoted") & ~F.col("_literal"), _masked(c, F.col("_mark"))).otherwise(c))
+    sep = F.when(F.col("_masked").rlike(r"[;|/\n\r]"), F.split("_masked", r"[;|/\n\r]+")).when(
+        F.contains("_masked", F.lit(",")), F.split("_masked", ",")
+    )
+    split = masked.withColumns(
+        {
+            "_split": F.when(F.col("_literal"), literal_items(c)).otherwise(F.coalesce(sep, F.array("_masked"))),
+            "_spans": F.when(F.col("_quoted") & ~F.col("_literal"), _spans(c)),
+        }
+    )
+    back = lambda p: _restored(p, F.col("_spans"), F.col("_mark"))
+    items = F.transform("_split", _trim)
+    items = F.when(F.col("_spans").isNotNull(), F.transform(items, back)).otherwise(items)
+    return split.select(*keep, "_cell", F.filter(items, lambda v: v != "").alias("_items"))
 
 
 def _one_comma(cell: Column) -> Column:
     """Parted by a single comma and nothing else: one name or two."""
-    return cell.rlike(r'^[^,;|/"\n\r\[\]]*[^,;|/"\n\r\[\]\s][^,;|/"\n\r\[\]]*,[^,;|/"\n\r\[\]]*[^,;|/"\n\r\[\]\s][^,;|/"\n\r\[\]]*$')
+    other = F.length(F.translate(cell, ';|/"\n\r[]', "")) == F.length(cell)
+    halves = [F.btrim(F.substring_index(cell, ",", k), F.lit(" \t\u00a0\ufeff")) != "" for k in (1, -1)]
+    return F.contains(cell, F.lit(",")) & (F.length(F.translate(cell, ",", "")) == F.length(cell) - 1) & other & halves[0] & halves[1]
 
 
 def comma_qualifiers(df: DataFrame, field: str) -> DataFrame:
@@ -102,8 +117,8 @@ def comma_qualifiers(df: DataFrame, field: str) -> DataFrame:
     whole table, with map-side combining; one row per text leaves a task.
     """
     cell = F.col(field)
-    value = F.explode(_parts(cell, False)).alias("value")
-    values = df.where(cell.isNotNull() & ~_one_comma(cell)).select(value)
+    rows = df.where(cell.isNotNull() & ~_one_comma(cell)).select(cell.alias("_cell"))
+    values = _with_parts(rows).select(F.explode_outer("_items").alias("value")).where("value is not null")
     inside = F.contains("value", F.lit(","))
     seen = values.select(
         _qualifier_of(F.when(inside, F.substring_index("value", ",", -1)).otherwise(F.col("value"))).alias("qualifier"),
@@ -128,18 +143,21 @@ def split_values(
         rows = rows.where(~F.trim("_cell").isin(*whole))
     c = F.col("_cell")
     if blank_parts:
-        return _exploded(rows.select(key, _parts(c, True).alias("_items")), key)
-    sure = rows.where(~_one_comma(c)).select(key, _parts(c, False).alias("_items"))
+        return _exploded(rows.select(key, _code_parts(c).alias("_items")), key)
+    sure = _with_parts(rows.where(~_one_comma(c))).select(key, "_items")
     learned = comma_qualifiers(df, field) if qualifiers is None else qualifiers
     doubtful = rows.where(_one_comma(c)).withColumn("qualifier", _qualifier_of(F.substring_index("_cell", ",", -1)))
     known = learned.select("qualifier", F.lit(True).alias("_one")).distinct()
-    decided = doubtful.join(known, "qualifier", "left").select(
-        key, F.when(F.col("_one"), F.array(_trim(c))).otherwise(_parts(c, False)).alias("_items")
-    )
+    halves = F.filter(F.transform(F.split(c, ","), _trim), lambda v: v != "")
+    decided = doubtful.join(known, "qualifier", "left").select(key, F.when(F.col("_one"), F.array(_trim(c))).otherwise(halves).alias("_items"))
     return _exploded(sure.unionByName(decided), key)
 
 
 def _exploded(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.size("_items").alias("n_items"), F.posexplode("_items").alias("_pos", "item")).select(
-        key, "n_items", (F.col("_pos") + 1).alias("pos_no"), "item"
-    )
+    """One row per value. The outer form and the struct keep filters above the generator.
+
+    Otherwise ``size(_items) > 0`` and tests on ``n_items`` would be pushed below
+    it and the whole splitting be computed once more for each.
+    """
+    packed = F.transform("_items", lambda v, i: F.struct(F.size("_items").alias("n_items"), (i + 1).alias("pos_no"), v.alias("item")))
+    return rows.select(key, F.explode_outer(packed).alias("_v")).select(key, "_v.*").where(F.col("item").isNotNull())
