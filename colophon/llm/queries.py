@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colophon.llm import canonical_list as cl
 from colophon.llm import format_dedup as fd
+from colophon.operators.value_splitter import split_values
 from colophon.session import table
 
 MERGED = "dimension_merged"
@@ -34,5 +36,24 @@ def p5_collisions(spark: SparkSession, d: str) -> DataFrame:
     return fd.collisions(fd.groups(_hashed(spark, d), "rec_no")).select(F.hex("h128").alias("h128"), "n_records")
 
 
-QUERIES = {"p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions}
+def _institutions(spark: SparkSession, d: str) -> DataFrame:
+    """``rec_no``, ``item``, ``inst_id`` (0: unlisted) of every name in every cell."""
+    matcher = cl.reference(table(spark, d, "institution_ranking"), "inst_id", "institution")
+    names = split_values(table(spark, d, MERGED), "rec_no", "research_org_names")
+    return cl.map_names(names, ["rec_no"], "item", matcher, "inst_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _institutions(spark, d).select("rec_no", "inst_id").distinct()
+
+
+def p3_unlisted(spark: SparkSession, d: str) -> DataFrame:
+    names = _institutions(spark, d).where("inst_id = 0")
+    return names.groupBy("item").agg(F.count("*").alias("n_names"), F.min("rec_no").alias("first_rec_no"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_unlisted": p3_unlisted,
+    "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions,
+}
 SQL: dict[str, str] = {}
