@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.llm import canonical_list as cl
+from colophon.llm import encoding_repair as er
 from colophon.llm import format_dedup as fd
 from colophon.operators.value_splitter import split_values
 from colophon.session import table
@@ -52,8 +53,20 @@ def p3_unlisted(spark: SparkSession, d: str) -> DataFrame:
     return names.groupBy("item").agg(F.count("*").alias("n_names"), F.min("rec_no").alias("first_rec_no"))
 
 
+LANGUAGE_SAMPLE = "sample_records_language_title_abstract"
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return er.repair(table(spark, d, LANGUAGE_SAMPLE), "id", ["title", "abstract"]).drop("text_md5")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    fixed = er.repair(table(spark, d, LANGUAGE_SAMPLE), "id", ["title", "abstract"])
+    return fixed.select("id", "field_name", "text_md5").distinct()
+
+
 QUERIES = {
-    "p3_found": p3_found, "p3_unlisted": p3_unlisted,
+    "p3_found": p3_found, "p3_unlisted": p3_unlisted, "p4_found": p4_found, "p4_repaired": p4_repaired,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions,
 }
 SQL: dict[str, str] = {}
