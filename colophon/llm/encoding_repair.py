@@ -235,20 +235,23 @@ class Model:
 
         return cipher.pattern.sub(fold, text).translate(table)
 
-    def gain(self, cipher: Cipher, text: str) -> tuple[float, str]:
-        """How much likelier the text gets by decoding, and the decoded text."""
-        new = self.decode(cipher, text)
-        if new == text:
-            return 0.0, text
-        return float(self.lm.steps(new).sum() - self.lm.steps(text).sum()) + float(np.log(self.weight[cipher.name])), new
-
     def ranked(self, text: str) -> list[tuple[float, Cipher, str]]:
-        out = []
+        """(gain in log likelihood, cipher, decoded text), best first.
+
+        A text in which whole UTF-8 sequences decode into something much
+        likelier isn't tried for one-byte confusions.
+        """
+        out: list[tuple[float, Cipher, str]] = []
+        old = float(self.lm.steps(text).sum())
         for c in CIPHERS:
+            if not c.wide and out and max(g for g, _, _ in out) > SWAP_GAIN:
+                break
             if c.pattern.search(text):
-                g, new = self.gain(c, text)
-                if g > (GAIN if c.wide else SWAP_GAIN):
-                    out.append((g, c, new))
+                new = self.decode(c, text)
+                if new != text:
+                    g = float(self.lm.steps(new).sum()) - old + float(np.log(self.weight[c.name]))
+                    if g > (GAIN if c.wide else SWAP_GAIN):
+                        out.append((g, c, new))
         return sorted(out, key=lambda x: -x[0])
 
     def repair(self, text: str) -> tuple[str, str]:
@@ -262,25 +265,26 @@ class Model:
             text = best[0][2]
         return text, " ".join(undone)
 
-    def expected(self, cipher: Cipher, text: str) -> Iterator[tuple[str, str, str, str, float]]:
-        """(left, unit, right, letter, share) of a text held to be garbled by the cipher."""
-        new = self.decode(cipher, text)
-        at, shift = self.lm, 0
+    def contexts(self, cipher: Cipher, text: str, new: str) -> Iterator[tuple[str, str, str, str]]:
+        """(cipher, left, unit, right) of a text's units; the neighbours as decoded in ``new``."""
+        shift = 0
         for m in cipher.pattern.finditer(text):
             unit, spot = m.group(), m.start() + shift
-            options = self.letters_of(cipher, unit)
             shift += (1 - len(unit)) if self.best_letter(cipher, unit) else 0
-            left = new[spot - 1] if spot > 0 else " "
-            right = new[spot + 1] if spot + 1 < len(new) else " "
-            names = list(options)
-            codes = at.codes("".join(n[0] for n in names))
-            l_code, r_code = at.codes(left)[0], at.codes(right)[0]
-            logit = np.log(np.array([options[n] for n in names])) + at.log[l_code, codes] + at.log[codes, r_code]
-            share = np.exp(logit - logit.max())
-            share /= share.sum()
-            for n, s in zip(names, share, strict=True):
-                if s > 0.02:
-                    yield left, unit, right, n, float(s)
+            yield cipher.name, new[spot - 1] if spot > 0 else " ", unit, new[spot + 1] if spot + 1 < len(new) else " "
+
+    def shares(self, cipher: Cipher, left: str, unit: str, right: str) -> Iterator[tuple[str, float]]:
+        """The letters a unit between two neighbours stands for, with their probabilities."""
+        options = self.letters_of(cipher, unit)
+        if not options:
+            return
+        names = list(options)
+        codes = self.lm.codes("".join(n[0] for n in names))
+        logit = np.log(np.array(list(options.values()))) + self.lm.log[self.lm.codes(left)[0], codes] + self.lm.log[codes, self.lm.codes(right)[0]]
+        share = np.exp(logit - logit.max())
+        for n, s in zip(names, share / share.sum(), strict=True):
+            if s > 0.02:
+                yield n, float(s)
 
     def improve(self, rows: pd.DataFrame) -> None:
         """M-step from the summed expectations: columns cipher, left, unit, right, letter, n."""
@@ -348,10 +352,15 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
             for b in batches:
                 seen: Counter = Counter()
                 for text in b["text"]:
-                    for _g, cipher, _n in m.ranked(text)[:1]:
-                        for left, unit, right, letter, share in m.expected(cipher, text):
-                            seen[cipher.name, left, unit, right, letter] += share
-                yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["cipher", "left", "unit", "right", "letter", "n"])
+                    for _g, cipher, new in m.ranked(text)[:1]:
+                        seen.update(m.contexts(cipher, text, new))
+                by_name = {c.name: c for c in CIPHERS}
+                rows = [
+                    (name, left, unit, right, letter, n * share)
+                    for (name, left, unit, right), n in seen.items()
+                    for letter, share in m.shares(by_name[name], left, unit, right)
+                ]
+                yield pd.DataFrame(rows, columns=["cipher", "left", "unit", "right", "letter", "n"])
 
         sums = odd.mapInPandas(expect, "cipher string, left string, unit string, right string, letter string, n double")
         sums = sums.groupBy("cipher", "left", "unit", "right", "letter").agg(F.sum("n").alias("n"))
