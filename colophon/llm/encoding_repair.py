@@ -238,13 +238,14 @@ class Model:
     def ranked(self, text: str) -> list[tuple[float, Cipher, str]]:
         """(gain in log likelihood, cipher, decoded text), best first.
 
-        A text in which whole UTF-8 sequences decode into something much
-        likelier isn't tried for one-byte confusions.
+        A mostly ASCII text in which whole UTF-8 sequences decode into something
+        much likelier isn't tried for one-byte confusions.
         """
         out: list[tuple[float, Cipher, str]] = []
         old = float(self.lm.steps(text).sum())
+        latin = 2 * len(text.encode("ascii", "ignore")) > len(text) * 1.2
         for c in CIPHERS:
-            if not c.wide and out and max(g for g, _, _ in out) > SWAP_GAIN:
+            if not c.wide and latin and out and max(g for g, _, _ in out) > SWAP_GAIN:
                 break
             if c.pattern.search(text):
                 new = self.decode(c, text)
