@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colophon.llm import canonical_list as cl
 from colophon.llm import encoding_repair as er
 from colophon.llm import format_dedup as fd
+from colophon.llm import language_labels as ll
 from colophon.operators.value_splitter import split_values
 from colophon.session import table
 
@@ -56,6 +57,26 @@ def p3_unlisted(spark: SparkSession, d: str) -> DataFrame:
 LANGUAGE_SAMPLE = "sample_records_language_title_abstract"
 
 
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    sample, codes = table(spark, d, LANGUAGE_SAMPLE), table(spark, d, "language_codes")
+    return ll.label_texts(sample, "id", ["title", "abstract"], ["abstract"], codes)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    codes = table(spark, d, "language_codes")
+    found = p2_segments(spark, d)
+    names = ("language", "pred_lang_title", "pred_lang_abstract")
+    labels = table(spark, d, LANGUAGE_SAMPLE).select("id", *[ll.named(F.col(c), codes).alias(c) for c in names])
+    mixed = found.where("n_segs > 1").select("id", "field_name", "seg_no", "lang_code")
+    one = found.where("n_segs = 1").join(labels, "id")
+    held = F.when(F.col("field_name") == "title", F.array(F.lit("pred_lang_title"))).otherwise(
+        F.array(F.lit("language"), F.lit("pred_lang_abstract"))
+    )
+    said = F.coalesce(*[F.when(F.col("name") == c, F.col(c)) for c in names])
+    wrong = one.withColumn("name", F.explode(held)).where(~said.eqNullSafe(F.col("lang_code")))
+    return mixed.unionByName(wrong.select("id", F.col("name").alias("field_name"), F.lit(0).alias("seg_no"), "lang_code")).distinct()
+
+
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return er.repair(table(spark, d, LANGUAGE_SAMPLE), "id", ["title", "abstract"]).drop("text_md5")
 
@@ -66,7 +87,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_unlisted": p3_unlisted, "p4_found": p4_found, "p4_repaired": p4_repaired,
+    "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_unlisted": p3_unlisted, "p4_found": p4_found, "p4_repaired": p4_repaired,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions,
 }
 SQL: dict[str, str] = {}
