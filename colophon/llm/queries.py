@@ -9,6 +9,7 @@ from colophon.llm import canonical_list as cl
 from colophon.llm import encoding_repair as er
 from colophon.llm import format_dedup as fd
 from colophon.llm import language_labels as ll
+from colophon.llm import personal_information as pi
 from colophon.operators.value_splitter import split_values
 from colophon.session import table
 
@@ -86,8 +87,20 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return fixed.select("id", "field_name", "text_md5").distinct()
 
 
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return pi.accepted(pi.extract(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cases(spark, d).select("doc_id", F.col("kind").alias("pii_kind"), F.col("text").alias("pii_text")).distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pi.mask(table(spark, d, "documents"), "doc_id", "text", _cases(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_unlisted": p3_unlisted, "p4_found": p4_found, "p4_repaired": p4_repaired,
-    "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions,
+    "p10_found": p10_found, "p10_masked": p10_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions,
 }
 SQL: dict[str, str] = {}
