@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.llm import canonical_list as cl
+from colophon.llm import container_packing as cp
 from colophon.llm import encoding_repair as er
 from colophon.llm import format_dedup as fd
 from colophon.llm import language_labels as ll
 from colophon.llm import personal_information as pi
+from colophon.llm import source_mixing as sm
+from colophon.llm.token_sizes import token_sizes
 from colophon.operators.value_splitter import split_values
-from colophon.session import table
+from colophon.session import table, written
 
 MERGED = "dimension_merged"
 ENTRIES = ("concepts_scores", "researchers", "authors", "referenced_pubs", "category_for")
@@ -99,8 +102,33 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return pi.mask(table(spark, d, "documents"), "doc_id", "text", _cases(spark, d))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = written(token_sizes(table(spark, d, "documents"), "text", keep=("doc_id",)))
+    return cp.pack(sizes, "doc_id", table(spark, d, "container_sizes"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return cp.report(p8_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    sizes = token_sizes(table(spark, d, "documents"), "text", keep=("doc_id", "source")).where("n_tokens > 0")
+    sized = written(sizes.select("doc_id", sm.source_name(F.col("source")).alias("source"), "n_tokens", sm.bucket("doc_id").alias("bucket")))
+    planned = sm.plan(sized, table(spark, d, "source_targets"))
+    return sm.mix(sized, "doc_id", planned), planned
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return sm.shares(*_mixed(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_segments": p2_segments, "p3_found": p3_found, "p3_unlisted": p3_unlisted, "p4_found": p4_found, "p4_repaired": p4_repaired,
+    "p8_packed": p8_packed, "p8_report": p8_report, "p9_mixed": p9_mixed, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_masked": p10_masked, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p5_collisions": p5_collisions,
 }
 SQL: dict[str, str] = {}
