@@ -53,11 +53,15 @@ BODY = frozenset(
 UP, LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪŁŃŇŌŘŚŞŠŤŪŮŹŻŽА-ЯЁ", "a-zß-öø-ÿāăąćčďđēęěğīłńňōřśşšťūůźżžа-яё"
 WORD = rf"[{UP}][{UP}{LOW}'’]*[{UP}{LOW}](?:-[{UP}][{UP}{LOW}'’]+)*"
 LINK = r"(?:de|van|von|da|di|del|della|dos|du|den|der|la|le)"
-NAME = re.compile(rf"(?<![\w.@/-])[{UP}](?:\.|[{UP}{LOW}'’-]+)(?:,? (?:{LINK} )?(?:{WORD}|[{UP}]\.))+(?![\w@])")
+NAME = re.compile(rf"[{UP}](?:\.|[{UP}{LOW}'’-]+)(?:,? (?:{LINK} )?(?:{WORD}|[{UP}]\.))+(?![\w@])")
 LOWER_NAME = re.compile(rf"(?<![\w.@/-]){WORD} [{LOW}]{{5,}}(?: [{LOW}]{{5,}})?(?= \w)")
-TITLE = re.compile(r"(?:\b(?:Dr|Prof|Mr|Ms|Mrs|Dra|Sra|Sr)\.? )$")
-NUMBER = re.compile(r"(?<![\w.@/])(?:\+|\(\+?|\b)\d[\d ()./-]{5,}\d(?:-?[A-Z]\b)?(?: ?(?:ext|x|Ext)\.? ?\d+)?(?![\w@])|\b[A-Z]{1,2}\d{6,8}[A-Z]?\b")
-AT = re.compile(r"@|[\[({] ?at ?[\])}]|\bat\b|\bAT\b")
+WORDS = re.compile(r"\S+")
+NUMERAL = re.compile(r"\d+")
+#: Patterns begin with a class of characters, which the search skips to; what must not stand before is looked at by hand.
+DIGITS = re.compile(r"\d(?:[\d ()./-]*\d)?")
+NUMBER_END = re.compile(r"(?:-?[A-Z]\b)?(?: ?(?:ext|x|Ext)\.? ?\d+)?(?![\w@])")
+ID_START = re.compile(r"(?:(?<=\W)|^)[A-Z]{1,2}$")
+AT_SIGNS = ("@", "[at]", "(at)", "{at}", "[ at ]", "( at )", "{ at }", " at ", " AT ", "(AT)", "[AT]", "{AT}")
 LOCAL = re.compile(r"[\w.+-]+$")
 DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) )[\w-]+)+")
 HOUSE = r"\d{1,4}(?: ?[a-z]\b| bis\b)?"
@@ -78,7 +82,35 @@ ADDRESSES = [
     re.compile(rf"(?:(?P<p>{POST}), (?P<t>{TOWN}), )?(?<![\w-])(?P<s>{RU_STREET}),? (?:д|кв)\. ?\d+\w?(?:, (?:кв|к)\. ?\d+)?(?:, (?P<u>{TOWN}))?"),
 ]
 CANDIDATE = "kind string, text string, at int, upto int, left_words string, right_word string, inst array<string>, seed boolean, town string"
-SHORT_LINE = re.compile(r"^[^\n]{0,80}$")
+#: What follows a house number.
+AFTER_HOUSE = re.compile(rf"(?: ?[a-z]\b| bis\b)?(?:,| [{UP}]| RT | (?:rue|avenue|impasse|boulevard|place|quai|chemin|allée|passage|route)\b)")
+REACH = 110
+
+
+def addresses(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, re.Match, int, int]]:
+    """(number of the pattern, match, start, end), looked for around what may be a house number."""
+    seen = set()
+    for a, b in runs:
+        first = re.match(r"\d+", text[a:b]).end()
+        flat = text[max(0, a - 3) : a]
+        if first > 4 or (text[a - 1 : a] not in (" ", "\n", "") and a) or not (AFTER_HOUSE.match(text, a + first) or flat in ("д. ", "в. ")):
+            continue
+        lo, hi = max(0, a - REACH), min(len(text), b + REACH)
+        lo = max(lo, text.rfind("\n", lo, a) + 1)
+        stop = text.find("\n", b, hi)
+        hi = stop if stop >= 0 else hi
+        # not from the middle of a word
+        while 0 < lo < a and text[lo - 1].isalnum():
+            lo += 1
+        window = text[lo:hi]
+        for number, pattern in enumerate(ADDRESSES):
+            for m in pattern.finditer(window):
+                key = (number, lo + m.start(), lo + m.end())
+                if key not in seen and lo + m.start() <= a < lo + m.end():
+                    seen.add(key)
+                    yield number, m, lo, lo + m.start()
+
+
 
 
 @lru_cache(maxsize=100_000)
@@ -88,47 +120,48 @@ def plain(word: str) -> str:
 
 
 def around(text: str, a: int, b: int) -> tuple[str, str]:
-    """The two words before and the one after, lower case, digits as 9; ends of lines show as marks."""
+    """The two words before and the one after, lower case, digits as 9; ``¶`` for the start of a line or sentence and the end of a line."""
     before = text[max(0, a - 48) : a]
-    before = before[before.rfind("\n") + 1 :] if "\n" in before else ("¶ " + before if a <= 48 else before)
-    line_start = a == 0 or text[a - 1] == "\n" or ("\n" in text[max(0, a - 48) : a] and not before.strip())
-    before = re.split(r"[.!?…] +(?=$)", before)[-1] if re.search(r"[.!?…] +$", before) and not before.endswith(("Dr. ", "Prof. ")) else before
-    line_start = line_start or not before.strip()
-    words = re.sub(r"\d+", "9", before.lower()).split()
-    left = " ".join(words[-2:]) if words and not line_start else "¶"
-    after = text[b : b + 32]
-    word = re.match(r"[ \t]*([^\s]+)", after)
-    right = re.sub(r"\d+", "9", word.group(1).lower()) if word and not after.startswith("\n") else "¶"
-    return left[-40:], right[:24]
+    before = before[before.rfind("\n") + 1 :]
+    bare = before.rstrip()
+    starts = not bare or (len(bare) < len(before) and bare[-1] in ".!?…" and not bare.endswith(("Dr.", "Prof.")))
+    left = "¶" if starts else " ".join(NUMERAL.sub("9", bare.lower()).split()[-2:])
+    word = text[b : b + 32].partition("\n")[0].split(None, 1)
+    return left[-40:], NUMERAL.sub("9", word[0].lower())[:24] if word else "¶"
+
+
+def _spots(text: str, marks: tuple[str, ...]) -> Iterator[tuple[int, str]]:
+    for mark in marks:
+        i = text.find(mark)
+        while i >= 0:
+            yield i, mark
+            i = text.find(mark, i + 1)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Spans of e-mail addresses, disguised or not."""
     done = 0
-    for m in AT.finditer(text):
-        if m.start() < done:
-            continue
-        plain_at = m.group() == "@"
-        head, tail = text[max(0, m.start() - 66) : m.start()], text[m.end() : m.end() + 120]
-        gap_l, gap_r = len(head) - len(head.rstrip(" ")), len(tail) - len(tail.lstrip(" "))
-        if gap_l > 1 or gap_r > 1 or (m.group() in ("at", "AT") and not (gap_l and gap_r)):
+    for at, mark in sorted(_spots(text, AT_SIGNS)):
+        if at < done:
             continue
-        local = LOCAL.search(head.rstrip(" "))
-        domain = DOMAIN.match(tail.lstrip(" "))
-        if not local or not domain:
-            continue
-        if not plain_at and m.group() in ("at", "AT") and not re.search(r"dot|DOT", domain.group()):
+        word = mark.strip() in ("at", "AT")
+        head, tail = text[max(0, at - 66) : at], text[at + len(mark) : at + len(mark) + 120]
+        if word:
+            gap_l = gap_r = 0
+            if "dot" not in tail and "DOT" not in tail:
+                continue
+        else:
+            gap_l, gap_r = len(head) - len(head.rstrip(" ")), len(tail) - len(tail.lstrip(" "))
+            if gap_l > 1 or gap_r > 1 or (mark == "@" and gap_l != gap_r):
+                continue
+        local = LOCAL.search(head.rstrip(" ") if gap_l else head)
+        domain = DOMAIN.match(tail, gap_r)
+        if not local or not domain or (word and not re.search(r"dot|DOT", domain.group())):
             continue
-        if plain_at and (gap_l != gap_r):
+        if re.split(r"\W+", domain.group())[-1].isdigit():
             continue
-        host = domain.group()
-        if plain_at or m.group() not in ("at", "AT"):
-            tld = re.split(r"\W+", host)[-1]
-            if tld.isdigit():
-                continue
-        start = m.start() - gap_l - len(local.group())
-        start += len(local.group()) - len(local.group().lstrip(".+-"))
-        done = m.end() + gap_r + domain.end()
+        start = at - gap_l - len(local.group().lstrip(".+-"))
+        done = at + len(mark) + domain.end()
         yield start, done
 
 
@@ -136,18 +169,38 @@ def shape(number: str) -> str:
     return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", re.sub(r" ?(?:ext|x|Ext)\.? ?\d+$", "", number)))
 
 
-def numbers(text: str) -> Iterator[tuple[int, int]]:
-    for m in NUMBER.finditer(text):
-        s = m.group()
-        if s.startswith("(") and ")" not in s:
-            s = s[1:]
-        elif ")" in s and "(" not in s:
-            s = s[: s.index(")")].rstrip()
-        a = m.start() + (m.group().find(s) if s else 0)
-        if sum(c.isdigit() for c in s) >= 7 or s[:1].isalpha():
-            yield a, a + len(s)
+def numbers(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of number groups of seven digits or more and of one or two letters with six digits or more.
+
+    ``runs``: spans of digits and the marks between them.
+    """
+    for a, b in runs:
+        if b - a < 6:
+            continue
+        lead = ID_START.search(text[max(0, a - 3) : a])
+        if lead:
+            stop = re.compile(r"\d{6,8}[A-Z]?(?!\w)").match(text, a)
+            if stop:
+                yield a - len(lead.group()), stop.end()
+            continue
+        s = text[a:b]
+        if ")" in s and "(" not in s[: s.index(")")] and text[a - 1 : a] != "(":
+            b = a + len(s[: s.index(")")].rstrip())
+            s = text[a:b]
+        if text[a - 1 : a] == "(" and ")" in s:
+            a -= 1
+        if text[a - 1 : a] == "+":
+            a -= 1
+        elif text[a - 2 : a] == "(+":
+            a -= 1
+        if text[a - 1 : a].isalnum() or text[a - 1 : a] in (".", "@", "/", "_") and a:
+            continue
+        end = NUMBER_END.match(text, b)
+        if end and sum(c.isdigit() for c in s) >= 7:
+            yield a, end.end()
 
 
+@lru_cache(maxsize=200_000)
 def name_parts(text: str) -> tuple[str, str] | None:
     """First and last token (of a double name its first half), or None if there are fewer than two."""
     words = [w for w in re.split(r"[ ,]+", text) if not (re.fullmatch(LINK, w) or re.fullmatch(rf"[{UP}]\.", w))]
@@ -161,7 +214,13 @@ def names(text: str) -> Iterator[tuple[int, int]]:
     """
     for m in NAME.finditer(text):
         a, b = m.span()
-        words = [(a + w.start(), a + w.end()) for w in re.finditer(r"\S+", m.group())]
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_.@/-"):
+            continue
+        if b < len(text) and (text[b].isalnum() or text[b] in "_@"):
+            b = a + m.group().rfind(" ")  # the match stopped inside a word
+            if b <= a or " " not in text[a:b]:
+                continue
+        words = [(a + w.start(), a + w.end()) for w in WORDS.finditer(text[a:b])]
         if any(plain(text[x:y]).strip(".,") in BODY for x, y in words):
             continue
         for i in range(min(3, len(words))):
@@ -170,10 +229,10 @@ def names(text: str) -> Iterator[tuple[int, int]]:
                 part = text[x:y]
                 if y - x <= 90 and part[0].isupper() and part[-1] != "," and name_parts(part) and not re.fullmatch(LINK, text[slice(*words[j - 1])]):
                     yield x, y
-    for m in re.finditer(r"\b(?:Dr|Prof|Mr|Ms|Mrs)\. ", text):
-        low = LOWER_NAME.match(text, m.end())
+    for at, mark in _spots(text, ("Dr. ", "Prof. ", "Mr. ", "Ms. ", "Mrs. ")):
+        low = LOWER_NAME.match(text, at + len(mark))
         if low:
-            yield m.end(), m.end() + re.match(r"\S+ \S+", low.group()).end()
+            yield at + len(mark), at + len(mark) + re.match(r"\S+ \S+", low.group()).end()
 
 
 def candidates(text: str) -> Iterator[tuple]:
@@ -185,34 +244,33 @@ def candidates(text: str) -> Iterator[tuple]:
         pair = [w for w in local if w.isalpha() and len(w) > 2]
         yield "email", text[a:b], a, b, "", "", pair if len(pair) == 2 and len(local) == 2 else [], True, ""
     inside = lambda a, b: any(x < b and a < y for x, y in spans)
-    if any(c.isdigit() for c in text):
-        for a, b in numbers(text):
-            if inside(a, b):
-                continue
-            s, (left, right) = text[a:b], around(text, a, b)
-            form = shape(s)
-            label = bool(ID_LABELS.search(text[max(0, a - 40) : a]))
-            yield "phone", s, a, b, left, right, [form], s.startswith("+") and not label, ""
-            yield "idnum", s, a, b, left, right, [form], label, ""
-        seen = set()
-        for number, pattern in enumerate(ADDRESSES):
-            for m in pattern.finditer(text):
-                g = m.groupdict()
-                post = bool(g.get("p") or g.get("q"))
-                left, right = around(text, m.start(), m.end())
-                town = g.get("t") or g.get("u") or ""
-                for cut in range(town.count(" ") + 1):
-                    # a town may be followed by the next sentence without a mark
-                    short = town.rsplit(" ", cut)[0] if cut else town
-                    end = m.end() if not cut else (m.start("t") if g.get("t") else m.start("u")) + len(short)
-                    if cut and ((g.get("t") and m.end("t") != m.end()) or not (short and short[-1].isalpha())):
-                        break
-                    if (m.start(), end) not in seen:
-                        seen.add((m.start(), end))
-                        # unsure only where a capital follows, which may belong to the town or begin a sentence
-                        firm = not re.match(rf" [{UP}]", text[end : end + 2]) or text[end - 1].isdigit()
-                        sure = post or number == len(ADDRESSES) - 1
-                        yield "address", text[m.start() : end], m.start(), end, left, right, [plain(g["s"])], sure, ("!" if firm else "?") + plain(short)
+    runs = [m.span() for m in DIGITS.finditer(text)]
+    for a, b in numbers(text, runs):
+        if inside(a, b):
+            continue
+        s, (left, right) = text[a:b], around(text, a, b)
+        form = shape(s)
+        label = bool(ID_LABELS.search(text[max(0, a - 40) : a]))
+        yield "phone", s, a, b, left, right, [form], s.startswith("+") and not label, ""
+        yield "idnum", s, a, b, left, right, [form], label, ""
+    seen = set()
+    for number, m, lo, start in addresses(text, runs):
+        g = m.groupdict()
+        post = bool(g.get("p") or g.get("q"))
+        left, right = around(text, start, lo + m.end())
+        town = g.get("t") or g.get("u") or ""
+        for cut in range(town.count(" ") + 1):
+            # a town may be followed by the next sentence without a mark
+            short = town.rsplit(" ", cut)[0] if cut else town
+            end = lo + (m.end() if not cut else (m.start("t") if g.get("t") else m.start("u")) + len(short))
+            if cut and ((g.get("t") and m.end("t") != m.end()) or not (short and short[-1].isalpha())):
+                break
+            if (start, end) not in seen:
+                seen.add((start, end))
+                # unsure only where a capital follows, which may belong to the town or begin a sentence
+                firm = not re.match(rf" [{UP}]", text[end : end + 2]) or text[end - 1].isdigit()
+                sure = post or number == len(ADDRESSES) - 1
+                yield "address", text[start:end], start, end, left, right, [plain(g["s"])], sure, ("!" if firm else "?") + plain(short)
     for a, b in names(text):
         if inside(a, b):
             continue
@@ -292,20 +350,25 @@ def accepted(found: DataFrame, key: str) -> DataFrame:
 
 
 def _longest(found: DataFrame, key: str) -> DataFrame:
-    """Of overlapping candidates the one with the higher score; ties: the longest, then the first kind by name."""
+    """Of overlapping candidates the one with the higher score; ties: the longest, then the first kind by name.
+
+    A document's candidates are bounded by its own text, so they are gathered in one row.
+    """
     kind = dict(found.dtypes)[key]
+    rows = found.groupBy(key).agg(F.collect_list(F.struct(F.round("score", 2).alias("score"), "at", "upto", "kind", "text")).alias("spans"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(size=pdf["upto"] - pdf["at"]).assign(score=pdf["score"].round(2)).sort_values(["score", "size", "kind"], ascending=[False, False, True])
-        taken: list[tuple[int, int]] = []
-        keep = []
-        for r in rows.itertuples():
-            if all(r.upto <= a or b <= r.at for a, b in taken):
-                taken.append((r.at, r.upto))
-                keep.append(r.Index)
-        return pdf.loc[keep]
-
-    return found.groupBy(key).applyInPandas(run, f"`{key}` {kind}, kind string, text string, at int, upto int, score double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, spans in zip(b[key], b["spans"], strict=True):
+                taken: list[tuple[int, int]] = []
+                for x in sorted(spans, key=lambda x: (-x["score"], x["at"] - x["upto"], x["kind"], x["at"])):
+                    if all(x["upto"] <= a or z <= x["at"] for a, z in taken):
+                        taken.append((x["at"], x["upto"]))
+                        out.append((k, x["kind"], x["text"], x["at"], x["upto"], x["score"]))
+            yield pd.DataFrame(out, columns=[key, "kind", "text", "at", "upto", "score"])
+
+    return rows.mapInPandas(run, f"`{key}` {kind}, kind string, text string, at int, upto int, score double")
 
 
 def mask(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
