@@ -120,4 +120,4 @@ def plain_text(markup: str | None) -> str:
 
 def rough_clean(c: Column) -> Column:
     """``plain_text`` of each value, in Arrow batches; null gives the empty text."""
-    return F.pandas_udf(_each(plain_text), "string")(c)
+    return F.pandas_udf(lambda v: v.map(plain_text), "string")(c)

@@ -195,13 +195,15 @@ class Tokens:
         cut = self.cut if len(self.cut) else np.zeros(1, np.int64)
         start = np.where(k == 0, self.offsets[:-1][owner], cut[prev] + 1)
         end = np.where(k == self.count[owner] - 1, self.offsets[1:][owner], cut[nxt])
+        end = np.where(self.broken[owner], start, end)
         return self._text(start, end), np.concatenate([[0], ends_at])
 
     def _text(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
         quoted = np.zeros(len(start), bool)
         full = end > start
         quoted[full] = self.data[start[full]] == ord('"')
-        start, end = start + quoted, end - quoted
+        start = start + quoted
+        end = np.maximum(end - quoted, start)  # a lone quote of a broken record is no text
         size = end - start
         to = np.concatenate([[0], np.cumsum(size)])
         take = np.repeat(start - to[:-1], size) + np.arange(to[-1])

@@ -210,7 +210,9 @@ def promote(table: DataFrame, approved: Mapping[str, str]) -> DataFrame:
         "rescued", lambda k, v: ~_any([(k == f) & F.col(c).isNull() & cast[f].isNotNull() for f, c in approved.items()])
     )
     out = {c: F.coalesce(F.col(c), *[cast[f] for f in fields]) for c, fields in into.items()}
-    return table.withColumns(out | {"rescued": used})
+    # in two steps: within one, the new columns would already be seen by ``used``
+    step = table.withColumn("_left", used).withColumns(out)
+    return step.withColumn("rescued", F.col("_left")).drop("_left")
 
 
 def run_stats(lines: DataFrame) -> DataFrame:
