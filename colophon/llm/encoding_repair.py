@@ -55,6 +55,8 @@ SWAPS = (
 LM_CHARS, LM_PAIRS = 1000, 300_000
 LETTERS = 160  # non-ASCII letters a unit may stand for: the most frequent ones
 ROUNDS, GAIN, SWAP_GAIN, PASSES = 3, 4.0, 12.0, 4
+#: A text is looked at if 24 characters are this much less likely each than usual, or one is as rare as this.
+STRETCH, RARE = 2.5, -9.5
 
 
 def code_page(name: str) -> list[str]:
@@ -183,8 +185,10 @@ class Model:
         self.learned: dict[str, dict[str, dict[str, float]]] = {c.name: {} for c in CIPHERS}
         self.weight = {c.name: 1.0 for c in CIPHERS}
         self.top: dict[tuple[str, str], str | None] = {}
-        usual = self.lm.log[self.lm.index[97:123]][:, self.lm.index[97:123]]
-        self.floor = float(np.median(usual)) - 1.5
+        pairs = np.array(list(counts), np.int64).reshape(-1, 2)
+        n = np.array(list(counts.values()))
+        logs = self.lm.log[self.lm.index[np.minimum(pairs[:, 0], 0x2FFF)], self.lm.index[np.minimum(pairs[:, 1], 0x2FFF)]]
+        self.usual = float((logs * n).sum() / n.sum()) if len(n) else 0.0
 
     def letters_of(self, cipher: Cipher, unit: str) -> dict[str, float]:
         """Letters a unit may stand for: as learned, else by the book with a little doubt, else any."""
@@ -325,7 +329,7 @@ def _odd(model: Model, text: str) -> bool:
     w = min(len(steps) - 1, 24)
     if w < 2:
         return any(not c.isascii() for c in text)
-    return float((steps[w:] - steps[:-w]).min() / w) < model.floor - 2.0 or float(np.diff(steps).min()) < -9.5
+    return float((steps[w:] - steps[:-w]).min() / w) < model.usual - STRETCH or float(np.diff(steps).min()) < RARE
 
 
 def fields_of(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
