@@ -99,3 +99,22 @@ QUERIES = {
     "p1_found": p1_found, "p1_loaded": p1_loaded, "p1_rejected": p1_rejected, "p6_found": p6_found, "p6_counts": p6_counts,
     "p7_found": p7_found, "p7_table": p7_table, "p7_stats": p7_stats,
 }
+
+CELL = r'(?:"(?:[^"\\]|""|\\+[^\\])*"|[^",]*)'
+LIST = r"""\s*\[\s*(?:(?:''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*")(?:\s*,\s*(?:''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*"))*)?\s*\]\s*"""
+BAD_COUNT, BAD_LIST = "not regexp_full_match(trim(coalesce({0}, '')), '[0-9]*')", "trim(coalesce({0}, '')) <> '' and not regexp_full_match({0}, '(?s)" + LIST + "')"
+TEXT = "case when {0} like '\"%' then regexp_replace(substr({0}, 2, length({0}) - 2), '\"\"|\\\\\"', '\"', 'g') else {0} end"
+SQL = {
+    "p1_found": f"""with w as (select line_id, regexp_full_match(raw_line, '(?s){CELL}(?:,{CELL})*') as ok, regexp_extract_all(raw_line, '(?s)(?:^|,)({CELL})', 1) as c
+  from dimension_raw_lines), g as (select line_id, {TEXT.format('c[4]')} as t, {TEXT.format('c[6]')} as k from w where ok and len(c) = 8)
+ select '{RAW}' as src_table, line_id as row_id, 'quoting' as reason from w where not ok
+ union all select '{RAW}', line_id, 'column_count' from w where ok and len(c) <> 8
+ union all select '{RAW}', line_id, 'times_cited' from g where {BAD_COUNT.format('t')} union all select '{RAW}', line_id, 'concepts' from g where {BAD_LIST.format('k')}
+ union all select '{MERGED}', rec_no, 'times_cited' from {MERGED} where {BAD_COUNT.format('times_cited')}
+ union all select '{MERGED}', rec_no, 'concepts' from {MERGED} where {BAD_LIST.format('concepts')}""",
+    "p7_stats": """with h as (select run_id, file_id, file_name, file_date, list_sort(list_distinct(string_split(regexp_replace(lower(raw_line), '[\\s\\x{00A0}\\x{FEFF}"]', '', 'g'), ','))) as c
+  from openalex_file_lines where line_no = 1), f as (select run_id, arg_min(c, (file_date, file_id)) as first from h group by 1),
+ u as (select run_id, array_to_string(list_sort(list_distinct(flatten(list(c)))), '|') as unique_columns from h group by 1), n as (select run_id, count(*) filter (line_no > 1) as total_rows from openalex_file_lines group by 1)
+ select h.run_id, count(*) as total_files, any_value(n.total_rows) as total_rows, any_value(u.unique_columns) as unique_columns, bool_and(h.c = f.first) as per_file_columns_same,
+ coalesce(string_agg(case when h.c <> f.first then h.file_name end, '|' order by h.file_name), '') as differing_files from h join f using (run_id) join u using (run_id) join n using (run_id) group by h.run_id""",
+}
