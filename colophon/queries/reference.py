@@ -396,13 +396,13 @@ def p05(s, d):
     return table(s, d, "events").select("event_id", od.json_path(F.col("props"), "ref").alias("ref"))
 
 
-@query("p06_abstract_of_index", "select doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') as abstract from documents where length(text) < 2000 and text is not null")
+@query("p06_abstract_of_index", "select rec_no, array_to_string(list_filter(string_split(regexp_replace(title, '\\s+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') as abstract from dimension_merged where title is not null")
 def p06(s, d):
-    """An inverted index is built from each short text and read back."""
-    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda x: x != "")
-    docs = table(s, d, "documents").where("length(text) < 2000").select("doc_id", words.alias("w"))
+    """An inverted index is built from each title and read back."""
+    words = F.filter(F.split(F.regexp_replace("title", r"\s+", " "), " "), lambda x: x != "")
+    docs = merged(s, d).where("title is not null").select("rec_no", words.alias("w"))
     spots = F.transform(F.array_distinct("w"), lambda v: F.struct(v.alias("k"), F.filter(F.transform("w", lambda x, i: F.when(x == v, i)), lambda i: i.isNotNull()).alias("p")))
-    return docs.select("doc_id", od.abstract_of_index(F.map_from_entries(spots)).alias("abstract"))
+    return docs.select("rec_no", od.abstract_of_index(F.map_from_entries(spots)).alias("abstract"))
 
 
 @query("p08_numeric_type", f"select year, count({TC}) as n_numbers, sum({TC}) as total from dimension_merged group by year")

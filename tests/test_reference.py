@@ -15,7 +15,10 @@ from colophon.functions import names as fn
 from colophon.functions import texts as ft
 from colophon.operators import documents as od
 from colophon.operators import matching as om
-from colophon.queries import reference
+from colophon.queries import found, reference, reference_more
+
+ALL = reference.QUERIES | reference_more.QUERIES
+ALL_SQL = reference.SQL | reference_more.SQL | found.SQL
 
 
 def cells(rows):
@@ -31,13 +34,13 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(reference.QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL | {k: found.QUERIES[k] for k in found.SQL}))
 def test_query(name, spark, sf, duck):
-    df = reference.QUERIES[name](spark, sf)
+    df = (ALL | found.QUERIES)[name](spark, sf)
     columns = sorted(df.columns)
     got = cells(df.select(*columns).collect())
-    if name in reference.SQL:
-        want = duck.sql(reference.SQL[name])
+    if name in ALL_SQL:
+        want = duck.sql(ALL_SQL[name])
         assert sorted(want.columns) == columns
         assert got == cells(want.select(*[f'"{c}"' for c in columns]).fetchall())
     else:
