@@ -5,10 +5,13 @@ byte, or every UTF-8 sequence of bytes, stands for one letter. Which code pages
 were confused isn't known and differs by source, so for each pair of code pages
 (a *cipher*) the mapping from garbled units to letters is learned by
 expectation maximisation against the character bigrams of the whole table, and
-applied with ``translate()``.
+applied with ``translate()``. The code pages are the prior of a mapping, no more:
+units they leave open may stand for any letter, and the learned letter decides.
+The confusions of ``READ_AS`` and ``SWAPS`` are tried on every suspicious text;
+those of all other pairs of Python's code pages where the text stays unlikely.
 
 1. Bigrams of characters are counted over all texts that hold no unit of a
-   cipher (aggregated in Spark).
+   listed cipher and no word as no script writes it (aggregated in Spark).
 2. Texts that hold a cipher's units, or whose likelihood falls far below the
    usual somewhere, are kept; they are a small part and are written once.
 3. E-step in Spark: under the current mappings each text gets its most likely
@@ -17,8 +20,8 @@ applied with ``translate()``.
    the alphabets. M-step on the driver: new mappings, new cipher weights, new
    bigrams (the garbled ones taken out, the letters they stand for put in).
 4. Each text is decoded, again and again as long as its likelihood rises, since
-   some went through two confusions. An exact check follows: what the mapping
-   gives must garble again to the very units found.
+   some went through two confusions. Where the expectations leave a letter
+   unsure, the code pages decide.
 
 Texts in which characters were replaced ("�", "?" inside words) can't be
 restored and come out as lost.
@@ -31,10 +34,15 @@ in; further columns are not read.
 
 from __future__ import annotations
 
+import codecs
+import encodings
 import hashlib
+import pkgutil
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -55,6 +63,10 @@ SWAPS = (
 LM_CHARS, LM_PAIRS = 1000, 300_000
 LETTERS = 160  # non-ASCII letters a unit may stand for: the most frequent ones
 ROUNDS, GAIN, SWAP_GAIN, PASSES = 3, 4.0, 12.0, 4
+#: Weight of the code pages' letter among the expected counts; least share of a learned letter that is sure.
+BOOK, SURE = 1.0, 0.6
+#: Log of the number of characters that the bigrams don't tell apart.
+RARE_CHAR = 9.4
 #: A text is looked at if 24 characters are this much less likely each than usual, or one is as rare as this.
 STRETCH, RARE = 2.5, -9.5
 
@@ -70,6 +82,9 @@ def code_page(name: str) -> list[str]:
     return out
 
 
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+
+
 class Cipher:
     """One confusion of code pages: how its units look, and what they are by the book."""
 
@@ -89,6 +104,8 @@ class Cipher:
             other = code_page(written_as)
             self.book = {c: other[b] for c, b in self.to_byte.items() if other[b] != c}
             self.pattern = re.compile("[" + "".join(map(re.escape, self.book)) + "]")
+        #: What the mapping reads: UTF-8 sequences, or any character but ASCII.
+        self.units = self.pattern if self.wide else NOT_ASCII
 
     def by_the_book(self, unit: str) -> str | None:
         if not self.wide:
@@ -102,6 +119,57 @@ class Cipher:
 CIPHERS = [Cipher("utf-8", p) for p in READ_AS] + [Cipher(a, b) for a, b in SWAPS]
 
 
+@cache
+def cipher_of(name: str) -> Cipher:
+    listed = {c.name: c for c in CIPHERS}
+    return listed.get(name) or Cipher(*name.split(">"))
+
+
+@cache
+def code_pages() -> dict[str, str]:
+    """Upper half of each of Python's one-byte code pages that agree with ASCII; of equal ones the first."""
+    out: dict[str, str] = {}
+    for module in sorted(m.name for m in pkgutil.iter_modules(encodings.__path__)):
+        if "decoding_table" not in Path(encodings.__path__[0], f"{module}.py").read_text("utf-8"):
+            continue
+        name = codecs.lookup(module).name
+        page = "".join(code_page(name))
+        if page[:128] == "".join(map(chr, range(128))) and page[128:] not in out.values():
+            out[name] = page[128:]
+    return out
+
+
+@cache
+def other_wide() -> list[Cipher]:
+    """UTF-8 taken for any code page that ``READ_AS`` doesn't hold."""
+    listed = {codecs.lookup(p).name for p in READ_AS}
+    return [cipher_of(f"utf-8>{p}") for p in code_pages() if p not in listed]
+
+
+@cache
+def all_swaps() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(code points of all code pages, which of them each becomes if a pair's confusion is undone, names of the pairs)."""
+    pages = code_pages()
+    symbols = "".join(sorted({c for p in pages.values() for c in p if ord(c) > 127}))
+    at = {c: i for i, c in enumerate(symbols)}
+    half = {n: np.array([at.get(c, -1) for c in p]) for n, p in pages.items()}
+    rows, pairs = [], []
+    for read_as, seen in half.items():
+        byte = np.full(len(symbols), -1)
+        byte[seen[seen >= 0]] = np.flatnonzero(seen >= 0)
+        for written_as, meant in half.items():
+            if written_as != read_as:
+                new = np.where(byte >= 0, meant[byte], -1)
+                rows.append(np.where(new >= 0, new, np.arange(len(symbols))).astype(np.int16))
+                pairs.append(f"{written_as}>{read_as}")
+    return np.array([ord(c) for c in symbols]), np.array(rows), pairs
+
+
+@cache
+def listed_swaps() -> set[str]:
+    return {f"{codecs.lookup(a).name}>{codecs.lookup(b).name}" for a, b in SWAPS}
+
+
 def plausible(letter: str | None) -> bool:
     """A letter or mark of the scripts the code pages are for, and no control character."""
     if letter is None:
@@ -120,6 +188,11 @@ def has_units(text: str) -> bool:
     return bool(runs) and any(plausible(c.by_the_book(m.group())) for c in CIPHERS if c.wide for m in c.pattern.finditer(runs))
 
 
+#: Words as no script writes them: signs or box drawings inside, or capitals after small letters beyond ASCII.
+#: Texts that hold one don't teach the bigrams, or a confusion that is frequent would look usual.
+ODD_WORD = re.compile(r"[^\W\d_][^\x00-\x7f\w\s’‘·–—…«»“”\xad]+[^\W\d_]|[^\W\d_][²³¹¼½¾][^\W\d_]|[\u2500-\u259f]|[а-яёà-öø-ÿ][А-ЯЁÀ-ÖØ-Þ]")
+
+
 LOST_MARK = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|(?<=[\s'’(])\?+(?=\w)|\?(?=\w)|(?<=\w)\?(?=[,;:])|\?\?+\s*\w|(?<=\s)\?\s+\w|(?<=\w)\?(?=\s+[^\W\d_A-ZА-Я])")
 LOST_UPPER = re.compile(r"(?<=\w)\?(?=\s+\w)")
 
@@ -166,7 +239,7 @@ def count_bigrams(texts: DataFrame) -> dict[tuple[int, int], float]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            joined = " " + "\n ".join(t for t in b["text"] if t.isascii() or not ("�" in t or has_units(t))) + " "
+            joined = " " + "\n ".join(t for t in b["text"] if t.isascii() or not ("�" in t or ODD_WORD.search(t) or has_units(t))) + " "
             cp = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2FFF).astype(np.int64)
             pair, n = np.unique(cp[:-1] * 0x3000 + cp[1:], return_counts=True)
             yield pd.DataFrame({"pair": pair, "n": n})
@@ -192,17 +265,19 @@ class Model:
 
     def letters_of(self, cipher: Cipher, unit: str) -> dict[str, float]:
         """Letters a unit may stand for: as learned, else by the book with a little doubt, else any."""
-        known = self.learned[cipher.name].get(unit)
+        known = self.learned.get(cipher.name, {}).get(unit)
         if known:
             return known
         book = cipher.by_the_book(unit)
         others = self.lm.letters
-        if book is not None:
+        if book is None and unit not in cipher.to_byte and not cipher.wide:
+            book = unit  # no character of the page, most likely not garbled
+        if book is not None and (cipher.wide or book.isprintable()):
             return {book: 0.95} | {x: 0.05 / len(others) for x in others if x != book}
-        return {x: 1 / len(others) for x in others} if cipher.wide else {}
+        return {x: 1 / len(others) for x in others}
 
     def best_letter(self, cipher: Cipher, unit: str) -> str | None:
-        """The letter by the learned mapping, held against the book: what garbles back to the unit stands."""
+        """The letter by the learned mapping; the code pages' where that is unsure."""
         key = (cipher.name, unit)
         if key not in self.top:
             self.top[key] = self._best_letter(cipher, unit)
@@ -214,15 +289,13 @@ class Model:
         if not known:
             return None
         top = max(known, key=lambda x: (known[x], x))
-        if book is not None:
-            return book if known.get(book, 0) > 1e-4 or top == book else None
-        return top if known[top] > 0.6 else None
+        return top if known[top] > SURE else book
 
     def decode(self, cipher: Cipher, text: str) -> str:
         """Units folded to one character each, then one ``translate()``."""
         table: dict[int, str] = {}
         if not cipher.wide:
-            for c in set(cipher.pattern.findall(text)):
+            for c in set(cipher.units.findall(text)):
                 table[ord(c)] = self.best_letter(cipher, c) or c
             return text.translate(table)
         code: dict[str, str] = {}
@@ -259,21 +332,87 @@ class Model:
                         out.append((g, c, new))
         return sorted(out, key=lambda x: -x[0])
 
-    def repair(self, text: str) -> tuple[str, str]:
-        """(restored text, ciphers undone). Stops when no cipher makes the text likelier."""
-        undone = []
+    def unlikely(self, text: str) -> bool:
+        """Has a stretch much less likely than usual, or one step that is very rare."""
+        steps = np.cumsum(self.steps(text))
+        w = min(len(steps) - 1, 24)
+        if w < 2:
+            return not text.isascii()
+        return float((steps[w:] - steps[:-w]).min() / w) < self.usual - STRETCH or float(np.diff(steps).min()) < RARE
+
+    def screened(self, text: str) -> list[Cipher]:
+        """The one-byte confusion, of all pairs of code pages, that by the book gains most; all equal ones but the first are left out."""
+        points, rows, pairs = all_swaps()
+        chars, codes = np.unique(np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        spot = np.minimum(np.searchsorted(points, chars), len(points) - 1)
+        held = np.flatnonzero(points[spot] == chars)
+        if not len(held):
+            return []
+        new = rows[:, spot[held]]
+        key = new.astype(np.int64) @ np.random.default_rng(1).integers(1, 1 << 40, len(held))
+        first = np.sort(np.unique(key, return_index=True)[1])
+        index = self.lm.index
+        table = np.tile(index[np.minimum(chars, 0x2FFF)], (len(first), 1))
+        table[:, held] = index[np.minimum(points, 0x2FFF)][new[first]]
+        step, n = np.unique(codes[:-1].astype(np.int64) * len(chars) + codes[1:], return_counts=True)
+        a, b = step // len(chars), step % len(chars)
+        changed = np.isin(a, held) | np.isin(b, held)
+        a, b, n = a[changed], b[changed], n[changed]
+        best = int(first[np.argmax(self.lm.log[table[:, a], table[:, b]] @ n.astype(np.float32))])
+        return [] if pairs[best] in listed_swaps() or (new[best] == spot[held]).all() else [cipher_of(pairs[best])]
+
+    def chain(self, text: str) -> list[tuple[Cipher, str]]:
+        """(listed cipher undone, text then), until none makes the text likelier."""
+        done = []
         for _ in range(PASSES):
             best = self.ranked(text)
             if not best:
                 break
-            undone.append(best[0][1].name)
+            done.append(best[0][1:])
             text = best[0][2]
-        return text, " ".join(undone)
+        return done
+
+    def steps(self, text: str) -> np.ndarray:
+        """As those of the bigrams, with the characters that count as one told apart."""
+        c = self.lm.codes(f" {text} ")
+        return self.lm.log[c[:-1], c[1:]] - RARE_CHAR * (c[1:] == len(self.lm.log) - 1)
+
+    def likelihood(self, text: str) -> float:
+        return float(self.steps(text).sum())
+
+    def undone(self, text: str) -> list[tuple[Cipher, str]]:
+        """(cipher undone, text then). If the listed ciphers leave a text unlikely, all others are
+        tried before and after them; as these are many, they must gain more."""
+        done = self.chain(text)
+        end = done[-1][1] if done else text
+        if not self.unlikely(end):
+            return done
+        best, least = done, self.likelihood(end)
+        for start, before in [(text, []), (end, done)][: 1 + bool(done)]:
+            for c in [*(c for c in other_wide() if c.pattern.search(start)), *self.screened(start)]:
+                new = self.decode(c, start)
+                if new != start:
+                    many = GAIN + np.log(len(other_wide())) if c.wide else SWAP_GAIN + np.log(len(all_swaps()[2]))
+                    steps = [*before, (c, new), *self.chain(new)]
+                    value = self.likelihood(steps[-1][1]) + float(np.log(self.weight.get(c.name, 1.0)) - many)
+                    if value > least:
+                        best, least = steps, value
+        return best
+
+    def first(self, text: str) -> list[tuple[Cipher, str]]:
+        """The first step of ``undone``, if any."""
+        best = self.ranked(text)[:1]
+        return [best[0][1:]] if best and not self.unlikely(best[0][2]) else self.undone(text)[:1]
+
+    def repair(self, text: str) -> tuple[str, str]:
+        """(restored text, ciphers undone)."""
+        done = self.undone(text)
+        return (done[-1][1] if done else text), " ".join(c.name for c, _ in done)
 
     def contexts(self, cipher: Cipher, text: str, new: str) -> Iterator[tuple[str, str, str, str]]:
         """(cipher, left, unit, right) of a text's units; the neighbours as decoded in ``new``."""
         shift = 0
-        for m in cipher.pattern.finditer(text):
+        for m in cipher.units.finditer(text):
             unit, spot = m.group(), m.start() + shift
             shift += (1 - len(unit)) if self.best_letter(cipher, unit) else 0
             yield cipher.name, new[spot - 1] if spot > 0 else " ", unit, new[spot + 1] if spot + 1 < len(new) else " "
@@ -297,20 +436,20 @@ class Model:
             return
         totals = rows.groupby("cipher")["n"].sum()
         whole = float(totals.sum()) or 1.0
-        self.weight = {c.name: (1 + float(totals.get(c.name, 0))) / (whole + len(CIPHERS)) * len(CIPHERS) for c in CIPHERS}
+        names = list(dict.fromkeys([*(c.name for c in CIPHERS), *totals.index]))
+        self.weight = {c: (1 + float(totals.get(c, 0))) / (whole + len(names)) * len(names) for c in names}
         self.weight = {k: min(max(v, 0.2), 5.0) for k, v in self.weight.items()}
         by = rows.groupby(["cipher", "unit", "letter"])["n"].sum()
-        table: dict[str, dict[str, dict[str, float]]] = {c.name: defaultdict(dict) for c in CIPHERS}
-        books = {c.name: c for c in CIPHERS}
+        table: dict[str, dict[str, dict[str, float]]] = {c: defaultdict(dict) for c in names}
         for (name, unit, letter), n in by.items():
             table[name][unit][letter] = float(n)
         for name, units in table.items():
             for unit, letters in units.items():
-                book = books[name].by_the_book(unit)
-                if book is not None:
-                    letters[book] = letters.get(book, 0) + 1.0
+                book = cipher_of(name).by_the_book(unit)
+                if book is not None and (cipher_of(name).wide or book.isprintable()):
+                    letters[book] = letters.get(book, 0) + BOOK
                 total = sum(letters.values())
-                self.learned[name][unit] = {k: v / total for k, v in letters.items() if v / total > 1e-3}
+                self.learned.setdefault(name, {})[unit] = {k: v / total for k, v in letters.items() if v / total > 1e-3}
         for r in rows.itertuples():
             for a, b in ((r.left, r.letter[0]), (r.letter[-1], r.right)):
                 key = (min(ord(a), 0x2FFF), min(ord(b), 0x2FFF))
@@ -325,11 +464,7 @@ def _odd(model: Model, text: str) -> bool:
         return "?" in text and is_lost(text)
     if "�" in text or is_lost(text) or has_units(text):
         return True
-    steps = np.cumsum(model.lm.steps(text))
-    w = min(len(steps) - 1, 24)
-    if w < 2:
-        return any(not c.isascii() for c in text)
-    return float((steps[w:] - steps[:-w]).min() / w) < model.usual - STRETCH or float(np.diff(steps).min()) < RARE
+    return model.unlikely(text)
 
 
 def fields_of(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -357,13 +492,12 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
             for b in batches:
                 seen: Counter = Counter()
                 for text in b["text"]:
-                    for _g, cipher, new in m.ranked(text)[:1]:
+                    for cipher, new in m.first(text):
                         seen.update(m.contexts(cipher, text, new))
-                by_name = {c.name: c for c in CIPHERS}
                 rows = [
                     (name, left, unit, right, letter, n * share)
                     for (name, left, unit, right), n in seen.items()
-                    for letter, share in m.shares(by_name[name], left, unit, right)
+                    for letter, share in m.shares(cipher_of(name), left, unit, right)
                 ]
                 yield pd.DataFrame(rows, columns=["cipher", "left", "unit", "right", "letter", "n"])
 

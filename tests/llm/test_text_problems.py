@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,27 @@ def test_round_trip(spark, garbled):
     assert er.repair(df.limit(0), "id", ["title"]).count() == 0
 
 
+def test_confusions_beyond_the_list(spark):
+    polish = "Większość małych redakcji mierzy różnicę między źródłem a cytatem, choć część głosów pozostaje ściśle społeczna."
+    read = lambda data, page: "".join(er.code_page(page)[b] for b in data)
+    garbled = {
+        "mac": (CLEAN[3], read(CLEAN[3].encode(), "mac_cyrillic")), "855": (CLEAN[3], read(CLEAN[3].encode(), "cp855")),
+        "koi": (CLEAN[3], read(CLEAN[3].encode("koi8-r"), "cp866")), "1250": (polish, read(polish.encode("cp1250"), "cp1252")),
+    }
+    rows = [(f"c{i}", t) for i, t in enumerate([*CLEAN, *[polish] * 60])] + [(k, g) for k, (_, g) in garbled.items()]
+    got = {r["id"]: r["repaired"] for r in er.repair(spark.createDataFrame(rows, "id string, title string"), "id", ["title"]).collect()}
+    assert got == {k: t for k, (t, _) in garbled.items()}
+
+
+def test_the_learned_letter_decides():
+    model = er.Model({(ord(a), ord(b)): 5.0 for a in "абв " for b in "абв "})
+    swap = er.cipher_of("cp1251>cp1252")
+    assert model.decode(swap, "à☃") == "а☃"
+    rows = [(swap.name, unit, letter) for unit, letter in (("à", "б"), ("☃", "в"))]
+    model.improve(pd.DataFrame([(c, " ", u, " ", x, 50.0) for c, u, x in rows], columns=["cipher", "left", "unit", "right", "letter", "n"]))
+    assert model.decode(swap, "à☃") == "бв"
+
+
 def test_language_model_on_held_out_texts(spark, sf):
     df = spark.read.parquet(f"{sf}/sample_records_language_title_abstract.parquet")
     codes = spark.read.parquet(f"{sf}/language_codes.parquet")
