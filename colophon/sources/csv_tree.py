@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import os
@@ -89,16 +90,24 @@ def read_union(spark: SparkSession, folder: str, backslash_compat: bool = True,
     return files.repartition(max(1, min(len(by), 10_000)), "path").select("content").mapInPandas(parse, schema)
 
 
-def sniff(path: str, size: int = 2048) -> tuple[str, str]:
-    """(delimiter, encoding) of a file by its first characters."""
+def encoding_of(path: str, block: int = 1 << 20) -> str:
+    """The first of UTF-8 and Latin-1 that decodes the whole file; read in blocks."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     with open(path, "rb") as f:
-        head = f.read(size)
-    for encoding in ("utf-8-sig", "utf-8", "latin-1"):
         try:
-            text = head.decode(encoding)
-            break
+            while data := f.read(block):
+                decoder.decode(data)
+            decoder.decode(b"", final=True)
         except UnicodeDecodeError:
-            continue
+            return "latin-1"
+    return "utf-8-sig"
+
+
+def sniff(path: str, size: int = 2048) -> tuple[str, str]:
+    """(delimiter by the first characters, encoding by the whole) of a file."""
+    encoding = encoding_of(path)
+    with open(path, encoding=encoding, newline="") as f:
+        text = f.read(size)
     counts = {d: min((line.count(d) for line in text.splitlines()[:5] if line), default=0) for d in (";", ",", "\t")}
     best = max(counts, key=lambda d: counts[d])
     return (best if counts[best] else ","), ("UTF-8" if encoding.startswith("utf") else "ISO-8859-1")

@@ -45,6 +45,15 @@ def test_sniffed(spark, tmp_path):
     assert (r["Title"], r["Issn"], r["year"]) == ("Études", "1", 2004)
 
 
+def test_encoding_of_the_whole_file(spark, tmp_path):
+    head = "id;name\n" + "1;" + "x" * 2037
+    put(tmp_path, split=f"{head}é\n2;ñandú\n", late=f"{head}yyyyyyy\n2;ñandú\n".encode("latin-1"))
+    assert len(head.encode()) == 2047
+    for name in ("split", "late"):
+        rows = {r["id"]: r["name"] for r in csv_tree.read_sniffed(spark, str(tmp_path / f"{name}.csv")).collect()}
+        assert rows["2"] == "ñandú" and rows["1"][-1] in "éy"
+
+
 def test_verified_sink_and_rollback(spark, tmp_path):
     out = str(tmp_path / "t.parquet")
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
