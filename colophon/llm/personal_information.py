@@ -85,6 +85,8 @@ CANDIDATE = "kind string, text string, at int, upto int, left_words string, righ
 #: What follows a house number.
 AFTER_HOUSE = re.compile(rf"(?: ?[a-z]\b| bis\b)?(?:,| [{UP}]| RT | (?:rue|avenue|impasse|boulevard|place|quai|chemin|allée|passage|route)\b)")
 REACH = 110
+#: Words of a name, links and initials included.
+MOST_WORDS = 5
 
 
 def addresses(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, re.Match, int, int]]:
@@ -207,10 +209,24 @@ def name_parts(text: str) -> tuple[str, str] | None:
     return None if len(words) < 2 else (plain(words[0]).split("-")[0], plain(words[-1]).split("-")[0])
 
 
+def _free_of_bodies(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches of words, parted by commas, without the parts between commas that name a prize or body."""
+    start, part = 0, 0
+    for k, (x, y) in enumerate(words, 1):
+        if text[y - 1] == "," or k == len(words):
+            if any(plain(text[a:b]).strip(".,") in BODY for a, b in words[part:k]):
+                if part > start:
+                    yield start, part
+                start = k
+            part = k
+    if part > start:
+        yield start, part
+
+
 def names(text: str) -> Iterator[tuple[int, int]]:
-    """Capitalised sequences, and what is left of longer ones without the first or last words.
+    """Capitalised sequences, what is left of them without the first or last words, and all their parts of two to five words.
 
-    A sequence that names a prize or body is none.
+    A comma may part names as well as the two halves of one; a part between commas that names a prize or body is none.
     """
     for m in NAME.finditer(text):
         a, b = m.span()
@@ -221,14 +237,16 @@ def names(text: str) -> Iterator[tuple[int, int]]:
             if b <= a or " " not in text[a:b]:
                 continue
         words = [(a + w.start(), a + w.end()) for w in WORDS.finditer(text[a:b])]
-        if any(plain(text[x:y]).strip(".,") in BODY for x, y in words):
-            continue
-        for i in range(min(3, len(words))):
-            for j in range(len(words), max(i + 1, len(words) - 3), -1):
-                x, y = words[i][0], words[j - 1][1]
-                part = text[x:y]
-                if y - x <= 90 and part[0].isupper() and part[-1] != "," and name_parts(part) and not re.fullmatch(LINK, text[slice(*words[j - 1])]):
-                    yield x, y
+        for first, last in _free_of_bodies(text, words):
+            for i in range(first, last):
+                # a window, or the whole but for two words at either end
+                ends = {*range(i + 2, min(last, i + MOST_WORDS) + 1), *(range(max(i + 2, last - 2), last + 1) if i <= first + 2 else ())}
+                for j in sorted(ends, reverse=True):
+                    x, y = words[i][0], words[j - 1][1]
+                    y -= text[y - 1] == ","
+                    part = text[x:y]
+                    if y - x <= 90 and part[0].isupper() and name_parts(part) and not re.fullmatch(LINK, text[slice(*words[j - 1])].rstrip(",")):
+                        yield x, y
     for at, mark in _spots(text, ("Dr. ", "Prof. ", "Mr. ", "Ms. ", "Mrs. ")):
         low = LOWER_NAME.match(text, at + len(mark))
         if low:

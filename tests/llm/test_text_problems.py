@@ -127,6 +127,14 @@ def test_candidates():
     assert "Olga Yarrowmond" in kinds["name"] and not any("Prize" in n for n in kinds["name"])
 
 
+def test_names_in_long_sequences():
+    names = lambda t: {t[a:b] for a, b in pi.names(t)}
+    assert {"Anna Meyer", "Bob Smith", "Carl Jones"} <= names("Anna Meyer, Bob Smith, Carl Jones wrote this.")
+    assert names("Anna Meyer, Institute Of Media wrote this.") == {"Anna Meyer"}
+    assert "JOHN FOSTER" in names("EVERY DAY THE EDITOR JOHN FOSTER READ THE NEWS ALOUD") and "Meyer, Anna" in names("Meyer, Anna wrote this.")
+    assert len(names("WORD OTHER " * 1000)) < 100
+
+
 def test_found_and_masked(spark):
     # seeds and patterns need company
     more = [(i, f"{TEXT}\nmob. +44 1632 96{i:04d}\nT: +1 555 555 {i:04d}\nInterviewee Nadia Estravelo asked to pause here. x nadia.estravelo@y.test") for i in range(10, 16)]
