@@ -16,8 +16,8 @@ those of all other pairs of Python's code pages where the text stays unlikely.
    usual somewhere, are kept; they are a small part and are written once.
 3. E-step in Spark: under the current mappings each text gets its most likely
    cipher (or none), each unit with its neighbours a distribution over letters.
-   The expected counts are summed by (cipher, unit, letter), which is bounded by
-   the alphabets. M-step on the driver: new mappings, new cipher weights, new
+   The expected counts are summed by (cipher, unit, letter) and by neighbouring
+   characters, both bounded by the alphabets, and taken whole. M-step on the driver: new mappings, new cipher weights, new
    bigrams (the garbled ones taken out, the letters they stand for put in).
 4. Each text is decoded, again and again as long as its likelihood rises, since
    some went through two confusions. Where the expectations leave a letter
@@ -40,7 +40,7 @@ import hashlib
 import pkgutil
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from pathlib import Path
 
@@ -61,6 +61,7 @@ SWAPS = (
 )
 #: Bound of the bigram table: characters told apart, others count as one; kept bigrams.
 LM_CHARS, LM_PAIRS = 1000, 300_000
+LAST = chr(0x2FFF)
 LETTERS = 160  # non-ASCII letters a unit may stand for: the most frequent ones
 ROUNDS, GAIN, SWAP_GAIN, PASSES = 3, 4.0, 12.0, 4
 #: Weight of the code pages' letter among the expected counts; least share of a learned letter that is sure.
@@ -431,9 +432,14 @@ class Model:
                 yield n, float(s)
 
     def improve(self, rows: pd.DataFrame) -> None:
-        """M-step from the summed expectations: columns cipher, left, unit, right, letter, n."""
+        """M-step from the expectations: columns cipher, left, unit, right, letter, n."""
+        self.improve_summed(pd.DataFrame(summed_shares(rows.itertuples(index=False, name=None)), columns=SUMS))
+
+    def improve_summed(self, rows: pd.DataFrame) -> None:
+        """M-step from sums by cipher, unit and letter; under no cipher, by two neighbouring characters."""
         if rows.empty:
             return
+        pairs, rows = rows[rows["cipher"] == ""], rows[rows["cipher"] != ""]
         totals = rows.groupby("cipher")["n"].sum()
         whole = float(totals.sum()) or 1.0
         names = list(dict.fromkeys([*(c.name for c in CIPHERS), *totals.index]))
@@ -450,14 +456,27 @@ class Model:
                     letters[book] = letters.get(book, 0) + BOOK
                 total = sum(letters.values())
                 self.learned.setdefault(name, {})[unit] = {k: v / total for k, v in letters.items() if v / total > 1e-3}
-        for r in rows.itertuples():
-            for a, b in ((r.left, r.letter[0]), (r.letter[-1], r.right)):
-                key = (min(ord(a), 0x2FFF), min(ord(b), 0x2FFF))
-                self.counts[key] = self.counts.get(key, 0.0) + r.n
+        for a, b, n in zip(pairs["unit"], pairs["letter"], pairs["n"], strict=True):
+            key = (ord(a), ord(b))
+            self.counts[key] = self.counts.get(key, 0.0) + n
         self.lm = Bigrams(self.counts)
         self.top = {}
 
 
+SUMS = ["cipher", "unit", "letter", "n"]
+
+
+def summed_shares(rows: Iterable[tuple[str, str, str, str, str, float]]) -> list[tuple[str, str, str, float]]:
+    """Rows of ``SUMS`` of (cipher, left, unit, right, letter, n); characters beyond the bigrams' range count as its last."""
+    sums: Counter = Counter()
+    low = lambda c: c if c < LAST else LAST
+    for cipher, left, unit, right, letter, n in rows:
+        sums[cipher, unit, letter] += n
+        sums["", low(left), low(letter[0])] += n
+        sums["", low(letter[-1]), low(right)] += n
+    return [(*k, n) for k, n in sums.items()]
+
+
 def _odd(model: Model, text: str) -> bool:
     """Worth a closer look: units of a cipher, replaced characters, or an unlikely stretch."""
     if text.isascii():
@@ -494,16 +513,16 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
                 for text in b["text"]:
                     for cipher, new in m.first(text):
                         seen.update(m.contexts(cipher, text, new))
-                rows = [
+                rows = (
                     (name, left, unit, right, letter, n * share)
                     for (name, left, unit, right), n in seen.items()
                     for letter, share in m.shares(cipher_of(name), left, unit, right)
-                ]
-                yield pd.DataFrame(rows, columns=["cipher", "left", "unit", "right", "letter", "n"])
+                )
+                yield pd.DataFrame(summed_shares(rows), columns=SUMS)
 
-        sums = odd.mapInPandas(expect, "cipher string, left string, unit string, right string, letter string, n double")
-        sums = sums.groupBy("cipher", "left", "unit", "right", "letter").agg(F.sum("n").alias("n"))
-        model.improve(sums.orderBy(F.desc("n"), *sums.columns[:5]).limit(LM_PAIRS).toPandas())
+        sums = odd.mapInPandas(expect, "cipher string, unit string, letter string, n double")
+        sums = sums.groupBy(*SUMS[:3]).agg(F.sum("n").alias("n"))
+        model.improve_summed(sums.orderBy(*SUMS[:3]).toPandas())
     return model, odd
 
 

@@ -69,6 +69,16 @@ def test_the_learned_letter_decides():
     assert model.decode(swap, "à☃") == "бв"
 
 
+def test_no_expectation_is_cut(spark, monkeypatch):
+    rows = [(f"c{i}", t) for i, t in enumerate(CLEAN)] + [("g", CLEAN[0].encode().decode("cp1252"))]
+    texts = er.fields_of(spark.createDataFrame(rows, "id string, title string"), "id", ["title"])
+    counts = er.count_bigrams(texts)
+    monkeypatch.setattr(er, "count_bigrams", lambda _: dict(counts))
+    monkeypatch.setattr(er, "LM_PAIRS", 1)
+    model, _ = er.learn(texts, 1)
+    assert {er.cipher_of("utf-8>cp1252").by_the_book(u) for u in model.learned["utf-8>cp1252"]} == set("ñíúá") & set(CLEAN[0])
+
+
 def test_language_model_on_held_out_texts(spark, sf):
     df = spark.read.parquet(f"{sf}/sample_records_language_title_abstract.parquet")
     codes = spark.read.parquet(f"{sf}/language_codes.parquet")
