@@ -7,8 +7,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from colophon.sources.sinks import write_json
-
 MOST_ROWS = 1000
 
 
@@ -21,12 +19,12 @@ def html_table(df: DataFrame, title: str, most: int = MOST_ROWS) -> str:
 
 
 def write_report(parts: dict[str, DataFrame], folder: str) -> str:
-    """Each part as CSV and JSON, all as one page; gives the page's path."""
+    """Each part whole as CSV and JSON lines, the first rows of all as one page; gives the page's path."""
     base = Path(folder)
     base.mkdir(parents=True, exist_ok=True)
     for name, df in parts.items():
         df.coalesce(1).write.mode("overwrite").option("header", True).csv(str(base / f"{name}.csv"))
-        write_json([r.asDict() for r in df.limit(MOST_ROWS).collect()], str(base / f"{name}.json"))
+        df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(str(base / f"{name}.json"))
     page = "".join(html_table(df, name) for name, df in parts.items())
     (base / "report.html").write_text(f"<!doctype html><meta charset='utf-8'><title>Validation</title>{page}", encoding="utf-8")
     return str(base / "report.html")

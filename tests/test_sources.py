@@ -1,8 +1,10 @@
+import json
 import os
 import urllib.error
 
 import pytest
 
+from colophon.plans import report
 from colophon.sources import artifacts, csv_tree, rest, sinks
 from colophon.streaming import incremental
 
@@ -154,3 +156,10 @@ def test_stream_merges_new_files_once(spark, tmp_path):
     put(src, b="id,t\n2,z\n3,w\n")
     incremental.merge_new_files(spark, str(src), "id string, t string", out, cp, "id").awaitTermination()
     assert sorted((r["id"], r["t"]) for r in spark.read.parquet(out).collect()) == [("1", "x"), ("2", "y"), ("3", "w")]
+
+
+def test_report_json_is_whole(spark, tmp_path):
+    rows = report.MOST_ROWS + 5
+    report.write_report({"part": spark.range(rows).selectExpr("id", "if(id = 0, null, 'x') as v")}, str(tmp_path))
+    lines = [json.loads(x) for f in (tmp_path / "part.json").glob("part-*") for x in f.read_text().splitlines()]
+    assert sorted(r["id"] for r in lines) == list(range(rows)) and all("v" in r for r in lines)
