@@ -5,7 +5,7 @@ distinct values and each worker keeps what it has mapped, so nothing is
 shuffled and a value that a third of all rows hold costs one look-up per
 batch), normalised, given candidates by an inverted index of character n-grams,
 scored by weighted cosine and accepted above a threshold and a margin. The
-margin is counted in edits: of the best candidates, the one accepted must be
+margin is counted in edits: of all entries above the threshold, the one accepted must be
 within two edits of the name's place and nearer than every other.
 
 A name has two blocks of features, each of unit length. The *kind* block holds
@@ -66,8 +66,8 @@ UNITS = re.compile(
     r"|^(?:dept|department|faculty|school|centre|center|div|division|section|chair)\b[^,@]*(?:,|@)\s*",
     re.I,
 )
-#: Part of the score that the place has; least cosine of the place, of the kind, of both; candidates looked at, most edits.
-PLACE_SHARE, LEAST_PLACE, LEAST_KIND, THRESHOLD, CANDIDATES, EDITS = 0.5, 0.25, 0.93, 0.6, 8, 2
+#: Part of the score that the place has; least cosine of the place, of the kind, of both; most edits.
+PLACE_SHARE, LEAST_PLACE, LEAST_KIND, THRESHOLD, EDITS = 0.5, 0.25, 0.93, 0.6, 2
 
 
 def plain(text: str) -> str:
@@ -221,7 +221,7 @@ class Matcher:
         kinds = cosine(of(self._unit({k: self.idf_kind.get(k, self.other) for k in kind}), self.kind_post))
         score = PLACE_SHARE * places + (1 - PLACE_SHARE) * kinds
         score[(places < LEAST_PLACE) | (kinds < LEAST_KIND)] = 0
-        best = [i for i in np.argsort(-score, kind="stable")[:CANDIDATES] if score[i] >= THRESHOLD]
+        best = np.flatnonzero(score >= THRESHOLD)
         text = " ".join(place)
         ranked = sorted((edits(text, self.places[i], EDITS), i) for i in best)
         if not ranked or ranked[0][0] > EDITS or (len(ranked) > 1 and ranked[1][0] == ranked[0][0]):

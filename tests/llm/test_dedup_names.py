@@ -1,3 +1,5 @@
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from colophon.llm import canonical_list as cl
@@ -78,3 +80,10 @@ def test_p3(spark, sf):
     got = queries.p3_found(spark, sf).collect()
     ids = {r["inst_id"] for r in spark.read.parquet(f"{sf}/institution_ranking.parquet").collect()}
     assert len(got) == len(set(got)) and {r["inst_id"] for r in got} <= ids | {0}
+
+
+def test_every_entry_above_the_threshold_is_compared():
+    # words in another order have the same cosine but are far in edits
+    *others, last = permutations(["Albatross", "Merganser", "Cormorant", "Dunnock"])
+    m = cl.Matcher([*((i, f"University of {' '.join(p)}") for i, p in enumerate(others, 1)), (99, f"University of {' '.join(last)}")])
+    assert m.match(f"University of {' '.join(last)}".replace("Merganser", "Mergannser")) == 99
