@@ -40,32 +40,21 @@ def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
     return rt.rejected(_parsed(spark, d), "line_id")
 
 
-def _p6(spark: SparkSession, d: str) -> list[tuple[str, str, str, DataFrame]]:
-    merged, sjr = table(spark, d, MERGED), table(spark, d, SJR)
-    return [
-        (MERGED, "rec_no", "issn", vs.split_values(merged, "rec_no", "issn", blank_parts=True, whole=("-",))),
-        (MERGED, "rec_no", "research_org_names", vs.split_values(merged, "rec_no", "research_org_names")),
-        (MERGED, "rec_no", "research_org_country_names", vs.split_values(merged, "rec_no", "research_org_country_names")),
-        (SJR, "row_no", "issn", vs.split_values(sjr, "row_no", "issn", blank_parts=True, whole=("-",))),
-    ]
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    """``src_table, row_id, field_name, n_items, pos_no, item`` of all packed fields; each table is split in one go."""
+    merged = vs.split_fields(table(spark, d, MERGED), "rec_no", ("research_org_names", "research_org_country_names"), codes=("issn",), whole=("-",))
+    sjr = vs.split_fields(table(spark, d, SJR), "row_no", (), codes=("issn",), whole=("-",))
+    both = [(MERGED, merged.withColumnRenamed("rec_no", "row_id")), (SJR, sjr.withColumnRenamed("row_no", "row_id"))]
+    rows = [items.select(F.lit(name).alias("src_table"), "row_id", "field_name", "n_items", "pos_no", "item") for name, items in both]
+    return rows[0].unionByName(rows[1])
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for name, key, field, items in _p6(spark, d):
-        rows = items.where(F.col("n_items") > 1).select(
-            F.lit(name).alias("src_table"), F.col(key).alias("row_id"), F.lit(field).alias("field_name"), "pos_no", "item"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _p6(spark, d).where(F.col("n_items") > 1).drop("n_items")
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for name, _, field, items in _p6(spark, d):
-        rows = items.groupBy(F.lit(name).alias("src_table"), F.lit(field).alias("field_name"), "n_items").agg(F.count("*").alias("n_values"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _p6(spark, d).groupBy("src_table", "field_name", "n_items").agg(F.count("*").alias("n_values"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import brute
 import pytest
@@ -93,6 +94,20 @@ def test_split_edges(spark):
     assert vs.split_values(df.limit(0), "k", "cell").count() == 0
 
 
+def test_no_text_is_taken_for_a_placeholder(spark):
+    chance = random.Random(3)
+    plain = lambda n: "".join(chance.choice(";,ex019.\ue000\ue100\U000f0000") for _ in range(chance.randint(1, n)))
+    quoted = lambda: chance.choice(['{};"{}";{}', 'x"{}"0', '{};"{}"', '"{}";{}']).format(plain(6), plain(6), plain(6))
+    cells = [chance.choice((quoted(), plain(9) + ";" + quoted(), plain(12))) for _ in range(4000)]
+    cells.append('"x;y";\ue000\ue100\U000f00000\U000f0000;\ue0000.;z')
+    df = spark.createDataFrame(list(enumerate(cells)), "k int, cell string")
+    q = spark.createDataFrame([], "qualifier string")
+    got = {}
+    for r in vs.split_values(df, "k", "cell", qualifiers=q).orderBy("k", "pos_no").collect():
+        got.setdefault(r["k"], []).append(r["item"])
+    assert got == {k: parts for k, c in enumerate(cells) if (parts := list(brute.split_plain(c, set())))}
+
+
 def lines(spark, files):
     rows = []
     for run, fid, day, text in files:
