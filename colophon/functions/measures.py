@@ -168,11 +168,18 @@ def overall(scores: dict[str, Column]) -> tuple[Column, Column]:
     return total, F.when(total >= 4.5, "correct").when(total >= 3.5, "partial").otherwise("incorrect")
 
 
+def title_overlap(a: Column, b: Column) -> Column:
+    """Share of the words of two titles that both have; 0 where one has none."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    left, right = words(a), words(b)
+    return F.when((F.size(left) > 0) & (F.size(right) > 0), jaccard(left, right)).otherwise(0.0)
+
+
 def external_confidence(crossref: Column, orcid_hits: Column) -> tuple[Column, Column]:
     """(confidence, band) of look-ups: mean of the positive ones of title match and 0.7 x identifiers (five are full)."""
     orcid = 0.7 * F.least(F.lit(1.0), orcid_hits / 5)
     found = F.filter(F.array(F.coalesce(crossref, F.lit(0.0)), F.coalesce(orcid, F.lit(0.0))), lambda x: x > 0)
-    mean = F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(found), F.lit(1))
+    mean = F.round(F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(found), F.lit(1)), 6)
     return mean, F.when(mean > 0.7, "high").when(mean > 0.4, "medium").otherwise("low")
 
 

@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AUTHOR_BREAK = r"(?i);|&|and|\+|/|\\"
+AUTHOR_BREAK = r"(?iU)\s*(?:;|&|\band\b|\+|/|\\)\s*"
 TITLES = frozenset("dr prof mr mrs ms miss sir dame rev hon lord lady".split())
 SUFFIXES = frozenset("jr sr ii iii iv phd md esq".split())
 PREFIXES = frozenset("de da di do dos das del della der den van von la le du des el al bin ibn ter ten zu".split())
@@ -17,7 +17,7 @@ AFFILIATION = r"(?i)\b(universit|faculty|department|institute|hospital|school|ce
 
 
 def author_count(c: Column) -> Column:
-    """Non-blank parts between ``; & and + / \\``; blank gives 0."""
+    """Non-blank parts between ``; & + / \\`` and the word "and"; blank gives 0."""
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), AUTHOR_BREAK), lambda v: F.trim(v) != ""))
 
 

@@ -101,6 +101,17 @@ def loess(df: DataFrame, group: str, x: str, y: str, span: float = 0.75) -> Data
     return df.select(group, x, y).dropna().groupBy(group).applyInPandas(fit, f"`{group}` {kind}, `{x}` double, smooth double")
 
 
+def reconciled(figures: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``figure, n_whole, n_parts``: two one-row counts ``n`` of each figure side by side, by union and one aggregate."""
+    out = None
+    for name, sides in figures.items():
+        for k, side in enumerate(sides):
+            row = side.select(F.lit(name).alias("figure"), F.lit(k).alias("_k"), F.col("n").cast("bigint").alias("_n"))
+            out = row if out is None else out.unionByName(row)
+    pick = lambda k: F.coalesce(F.max(F.when(F.col("_k") == k, F.col("_n"))), F.lit(0))
+    return out.groupBy("figure").agg(pick(0).alias("n_whole"), pick(1).alias("n_parts"))
+
+
 def reconcile(checks: dict[str, tuple[int, int]]) -> None:
     """Raise unless both figures of every check agree (driver side)."""
     wrong = {k: v for k, v in checks.items() if v[0] != v[1]}

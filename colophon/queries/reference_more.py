@@ -17,6 +17,8 @@ from colophon.operators import ranking as orank
 from colophon.plans.variables import analysis_table
 from colophon.queries import reference as ref
 from colophon.session import shared_dir, table
+from colophon.sources.databases import catalog
+from colophon.sources.sinks import write_verified
 
 QUERIES: dict[str, ref.Query] = {}
 SQL: dict[str, str] = {}
@@ -101,11 +103,13 @@ def s11(s, d):
     return out
 
 
-@query("s13_catalog", "select 'language_codes' as table_name, column_name from (describe language_codes)")
+LISTED = ("customer", "dimension_merged", "documents", "language_codes", "orders")
+
+
+@query("s13_catalog", "select table_name, column_name, not is_empty as has_example from duckdb_columns() join (" + " union all ".join(f"select '{t}' as table_name, count(*) = 0 as is_empty from {t}" for t in LISTED) + ") using (table_name)")
 def s13(s, d):
-    """Columns of a table as rows."""
-    codes = table(s, d, "language_codes")
-    return s.createDataFrame([("language_codes", c) for c in codes.columns], "table_name string, column_name string")
+    """Tables, their columns, and a row of each as example."""
+    return catalog({t: table(s, d, t) for t in LISTED}).select("table_name", "column_name", F.col("example_row").isNotNull().alias("has_example"))
 
 
 def _xml(s: SparkSession, d: str) -> DataFrame:
@@ -155,11 +159,14 @@ def k03(s, d):
     return s.read.parquet(path)
 
 
-@query("k05_verified_csv", "select 0 as n_different")
+@query("k05_verified_csv", "select rec_no, title, publisher, concepts from dimension_merged")
 def k05(s, d):
-    """Write, read back, compare every cell."""
-    df = table(s, d, "institution_ranking")
-    return op.multiset_difference(df, _csv(s, df, compression="gzip")).agg(F.count("*").cast("int").alias("n_different"))
+    """Written as compressed CSV, read back, every cell compared, then put in place; any difference is an error."""
+    path = scratch(s, "verified")
+    df = merged(s, d).select("rec_no", "title", "publisher", "concepts")
+    options = {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    write_verified(df, path, "csv", compression="gzip", **options)
+    return s.read.schema(df.schema).options(**options).csv(path)
 
 
 # -- reshaping ---------------------------------------------------------------------------------------------------------------
@@ -310,10 +317,19 @@ def a05(s, d):
     return rows.groupBy("author_key").agg(F.min("y").alias("first_year"))
 
 
-@query("a19_reconciled", f"select (select count(*) from {SJR}) as n_rows, (select count(*) from {SJR}) as n_by_status")
+@query("a19_reconciled", f"""select 'status' as figure, (select count(*) from {SJR}) as n_whole, (select count(*) from {SJR} where issn is null or upper(trim(issn)) in ('', 'NA')) +
+ (select count(distinct row_no) from {ref.CHECKED} where {ref.STRICT} is not null) + (select count(*) from (select row_no from {ref.CHECKED} group by row_no having count(distinct {ref.STRICT}) = 0)) as n_parts
+ union all select 'titles per file', (select count(distinct title) from {SJR}), (select count(*) from (select distinct source_filename, title from {SJR} where title is not null))
+ union all select 'types', (select count(*) from dimension_merged), (select count(*) from dimension_merged where type is not null)""")
 def a19(s, d):
-    by = ref.f28(s, d).groupBy("status").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_by_status"))
-    return journals(s, d).agg(F.count("*").alias("n_rows")).join(by)
+    """Figures against the sums of their parts: statuses are complete, titles come in several files, some types are missing."""
+    j, m = journals(s, d), merged(s, d)
+    parts = {
+        "status": (j.agg(F.count("*").alias("n")), ref.f28(s, d).groupBy("status").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))),
+        "titles per file": (j.agg(F.count_distinct("title").alias("n")), j.groupBy("source_filename").agg(F.count_distinct("title").alias("n")).agg(F.sum("n").alias("n"))),
+        "types": (m.agg(F.count("*").alias("n")), m.where("type is not null").groupBy("type").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))),
+    }
+    return op.reconciled(parts)
 
 
 MEASURES = {"no title": "title is null", "no issn": "issn is null", "no publisher": "publisher is null", "comma as decimal mark": "sjr like '%,%'", "dash for issn": "issn = '-'"}
@@ -325,9 +341,14 @@ def a20(s, d):
     return one.unpivot([], list(MEASURES), "measure", "n")
 
 
-@query("n09_ordered_distinct", "select 'b,a,c' as kept")
+ORG = "list_filter(list_transform(regexp_split_to_array(research_org_names, '[;|]'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query("n09_ordered_distinct", f"""select rec_no, array_to_string(list_filter({ORG}, lambda x, i: list_position({ORG}, x) = i), '|') as kept from dimension_merged where research_org_names is not null""")
 def n09(s, d):
-    return s.range(1).select(F.array_join(F.array_distinct(F.array(*[F.lit(x) for x in "babca"])), ",").alias("kept"))
+    """Each name of a cell once, in the order in which the names come first."""
+    names = F.filter(F.transform(F.split("research_org_names", "[;|]"), lambda x: F.btrim(x, F.lit(" \t\r\n\u00a0\ufeff"))), lambda x: x != "")
+    return merged(s, d).where("research_org_names is not null").select("rec_no", F.array_join(F.array_distinct(names), "|").alias("kept"))
 
 
 @query("l03_preview", f"select row_no, title from {SJR} order by row_no limit 10")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
@@ -14,12 +15,13 @@ def file_sha256(path: str) -> str:
 
 
 def tree_sha256(path: str) -> str:
-    """Of a folder: the digest of its sorted list of relative names and digests."""
+    """Of a folder: the digest of its list of relative paths and digests, as compact JSON sorted by path."""
     base = Path(path)
     if base.is_file():
         return file_sha256(path)
-    lines = [f"{file_sha256(str(p))}  {p.relative_to(base).as_posix()}\n" for p in sorted(base.rglob("*")) if p.is_file()]
-    return hashlib.sha256("".join(lines).encode()).hexdigest()
+    found = sorted((p.relative_to(base).as_posix(), str(p)) for p in base.rglob("*") if p.is_file())
+    listed = [{"path": name, "sha256": file_sha256(p)} for name, p in found]
+    return hashlib.sha256(json.dumps(listed, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 @dataclass(frozen=True)

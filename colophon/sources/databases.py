@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, url: str, query: str, key: str, low: int, high: int, parts: int, fetch: int = 100_000, **options: str) -> DataFrame:
@@ -14,11 +17,20 @@ def read_table(spark: SparkSession, url: str, query: str, key: str, low: int, hi
     )
 
 
-def catalog(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """``table_name, column_name, data_type, example`` of the session's tables and views."""
-    rows = []
-    for t in spark.catalog.listTables(database):
-        df = spark.table(t.name)
-        first = df.limit(1).collect()
-        rows += [(t.name, c, k, None if not first or first[0][c] is None else str(first[0][c])) for c, k in df.dtypes]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, example string")
+def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``table_name, column_name, data_type, example_row``: one row per column, with the table's first row as JSON (null if it is empty).
+
+    One lazy job for all tables; each reads a single row. Of a database: ``session_tables``.
+    """
+    out = None
+    for name, df in tables.items():
+        columns = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type")) for c, t in df.dtypes])
+        first = df.limit(1).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("example_row")).agg(F.first("example_row").alias("example_row"))
+        rows = first.select(F.lit(name).alias("table_name"), F.explode(columns).alias("c"), "example_row").select("table_name", "c.*", "example_row")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def session_tables(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
+    """Tables and views of the session, by name."""
+    return {t.name: spark.table(t.name) for t in spark.catalog.listTables(database)}

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from colophon.operators.profiling import multiset_difference
 
@@ -18,43 +17,68 @@ def write_single(df: DataFrame, path: str, compression: str = "snappy") -> str:
     return path
 
 
-def promote(pairs: list[tuple[str, str]]) -> None:
+class Files:
+    """The file system a path lies on (local, HDFS, object store), through Hadoop's interface."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark._jvm.org.apache.hadoop.fs
+        self.system = self.jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.system.exists(self.jvm.Path(path))
+
+    def delete(self, path: str) -> None:
+        self.system.delete(self.jvm.Path(path), True)
+
+    def rename(self, old: str, new: str) -> None:
+        if not self.system.rename(self.jvm.Path(old), self.jvm.Path(new)):
+            raise OSError(f"{old} could not be moved to {new}")
+
+    def write_text(self, text: str, path: str) -> None:
+        out = self.system.create(self.jvm.Path(path), True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+
+def promote(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
     """Move staged outputs into place together; on any failure all old ones are put back."""
-    missing = [s for s, _ in pairs if not os.path.exists(s)]
+    if not pairs:
+        return
+    files = Files(spark, pairs[0][1])
+    missing = [s for s, _ in pairs if not files.exists(s)]
     if missing:
         raise FileNotFoundError(f"nothing staged at {missing}")
     moved: list[tuple[str, str | None]] = []
     try:
         for staged, final in pairs:
-            backup = f"{final}.previous" if os.path.exists(final) else None
+            backup = f"{final}.previous" if files.exists(final) else None
             if backup:
-                if os.path.exists(backup):
-                    shutil.rmtree(backup) if os.path.isdir(backup) else os.remove(backup)
-                os.replace(final, backup)
+                files.delete(backup)
+                files.rename(final, backup)
             moved.append((final, backup))
-            os.replace(staged, final)
-    except OSError:
+            files.rename(staged, final)
+    except Exception:
         for final, backup in reversed(moved):
-            if os.path.exists(final):
-                shutil.rmtree(final) if os.path.isdir(final) else os.remove(final)
+            files.delete(final)
             if backup:
-                os.replace(backup, final)
+                files.rename(backup, final)
         raise
     for _, backup in moved:
         if backup:
-            shutil.rmtree(backup) if os.path.isdir(backup) else os.remove(backup)
+            files.delete(backup)
 
 
 def write_verified(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> str:
     """Write beside ``path``, read back, compare every cell and the columns, then put it in place."""
     staged = f"{path}.pending"
-    shutil.rmtree(staged, ignore_errors=True)
     df.write.mode("overwrite").format(kind).options(**options).save(staged)
     reader = df.sparkSession.read.schema(df.schema).format(kind).options(**options)
     back = reader.load(staged)
     if back.columns != df.columns or not multiset_difference(df, back).isEmpty():
         raise ValueError(f"what was read back from {staged} differs")
-    promote([(staged, path)])
+    promote(df.sparkSession, [(staged, path)])
     return path
 
 

@@ -71,6 +71,8 @@ def test_names(spark):
     assert fn.canonical("Dr. José van der Berg Jr.") == "jose van der berg"
     assert fn.last_first("ada m lovelace") == "Lovelace, Ada M" and fn.last_first("Doe ,  J") == "Doe, J"
     assert values(spark, fn.author_count(F.col("v")), ["Ada Lovelace", "Alan Turing & Joan Clarke", None, " "]) == [1, 2, 0, 0]
+    words = ["Cabrandes; Thornavel; Okanduro", "Ferdinand Sandoval AND Anders Land", "A and and B", "A+B/C\\D;;", "Éand and Bandé"]
+    assert values(spark, fn.author_count(F.col("v")), words) == [3, 2, 2, 4, 2]
 
 
 def test_literals(spark):

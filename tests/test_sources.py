@@ -65,7 +65,7 @@ def test_verified_sink_and_rollback(spark, tmp_path):
     (tmp_path / "old2").write_text("2")
     (tmp_path / "new1").write_text("n")
     with pytest.raises(FileNotFoundError):
-        sinks.promote([(str(tmp_path / "new1"), str(tmp_path / "old1")), (str(tmp_path / "absent"), str(tmp_path / "old2"))])
+        sinks.promote(spark, [(str(tmp_path / "new1"), str(tmp_path / "old1")), (str(tmp_path / "absent"), str(tmp_path / "old2"))])
     assert (tmp_path / "old1").read_text() == "1" and (tmp_path / "old2").read_text() == "2"
     sinks.write_single(df.limit(0), str(tmp_path / "none.parquet"))
     assert spark.read.parquet(str(tmp_path / "none.parquet")).columns == ["k", "v"]
