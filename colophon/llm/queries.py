@@ -44,9 +44,9 @@ def p5_collisions(spark: SparkSession, d: str) -> DataFrame:
 
 def _institutions(spark: SparkSession, d: str) -> DataFrame:
     """``rec_no``, ``item``, ``inst_id`` (0: unlisted) of every name in every cell."""
-    matcher = cl.reference(table(spark, d, "institution_ranking"), "inst_id", "institution")
+    shards = cl.reference(table(spark, d, "institution_ranking"), "inst_id", "institution")
     names = split_values(table(spark, d, MERGED), "rec_no", "research_org_names")
-    return cl.map_names(names, ["rec_no"], "item", matcher, "inst_id")
+    return cl.map_names(names, ["rec_no"], "item", shards, "inst_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

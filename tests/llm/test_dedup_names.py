@@ -71,9 +71,45 @@ def test_equal_entries_fail_the_margin():
 
 def test_map_names_frame(spark):
     df = spark.createDataFrame([(1, "University of Ravenwick", "x"), (1, "University of Ravenwick", "y"), (2, None, "z"), (3, " ", "z")], "k int, n string, entry_id string")
-    got = cl.map_names(df, ["k"], "n", cl.Matcher(LIST), "e").collect()
+    listed = spark.createDataFrame(LIST, "id int, name string")
+    shards = cl.reference(listed, "id", "name")
+    got = cl.map_names(df, ["k"], "n", shards, "e").collect()
     assert [(r["k"], r["e"]) for r in got] == [(1, 1), (1, 1)]
-    assert cl.map_names(df.limit(0), ["k"], "n", cl.Matcher(LIST)).count() == 0
+    assert cl.map_names(df.limit(0), ["k"], "n", shards).count() == 0
+    assert cl.map_names(df, ["k"], "n", cl.reference(listed.limit(0), "id", "name"), "e").select("e").distinct().collect() == [(0,)]
+
+
+def test_any_list():
+    m = cl.Matcher([(1, "Berlin"), (2, "Paris"), (3, "Acme Laboratories"), (4, "Data Scientist"), (5, "東京大学"), (6, "Αθήνα")])
+    for name, want in {"Berlim": 1, "BELRIN": 1, "Acme Laboratorie": 3, "Data Scientst": 4, "北京大学": 0, "東京大学": 5, "???": 0, "Bern": 0, "αθηνα": 6, "": 0}.items():
+        assert m.match(name) == want, name
+
+
+def test_frequent_words_of_the_list_tell_the_kind():
+    towns = [f"{a}{b}" for a in ("Raven", "Stone", "Copper", "Amber") for b in ("wick", "fold", "mere")]
+    m = cl.Matcher([*((i, f"{t} Brewery") for i, t in enumerate(towns, 1)), *((i, f"{t} Museum") for i, t in enumerate(towns, 101))], kinds={})
+    assert m.match("Musem Ravenwikc") == 101 and m.match("Stonefold brewery") == 5 and m.match("Harbour of Stonefold") == 0 and m.match("Stonefold") == 0
+
+
+def test_shards_agree_with_one_list(spark):
+    entries = [*LIST, *((i, f"University of {''.join(p)}") for i, p in enumerate(permutations(["raven", "copper", "wick", "mere", "thorn"], 3), 100))]
+    listed = spark.createDataFrame(entries, "id int, name string")
+    names = [*(n for _, n in entries), *(n[:-3] + n[-2] + n[-3] + n[-1] for _, n in entries), "freelance"]
+    typed = spark.createDataFrame([(n,) for n in names], "n string").distinct()
+    shards = cl.reference(listed, "id", "name", most=30)
+    assert len(shards) > 1
+    got = {r["n"]: r["entry_id"] for r in cl.match_values(typed, "n", shards).collect()}
+    assert all(got[n] == i for i, n in entries) and got["freelance"] == 0
+    one = cl.Matcher(sorted(entries))
+    # weights are those of a shard, so a few scores near the threshold may differ
+    assert sum(one.match(n) != i for n, i in got.items()) <= len(got) // 50
+
+
+def test_hot_names_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(cl, "HOT_SHARE", 5)
+    rows = [(i, "University of Ravenwick" if i % 3 else f"Beauorval - Ecole de journalisme de {'zzqqj' * (i % 2)}") for i in range(90)]
+    got = cl.map_names(spark.createDataFrame(rows, "k int, n string"), ["k"], "n", cl.reference(spark.createDataFrame(LIST, "id int, name string"), "id", "name"), "e")
+    assert sorted((r["k"], r["e"]) for r in got.collect()) == [(i, 1 if i % 3 else 0 if i % 2 else 6) for i in range(90)]
 
 
 def test_p3(spark, sf):
