@@ -59,9 +59,9 @@ SWAPS = (
     ("cp1251", "cp850"), ("cp1251", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp437", "cp1252"),
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp1250"), ("cp1252", "cp1251"),
 )
-#: Bound of the bigram table: characters told apart, others count as one; kept bigrams.
-LM_CHARS, LM_PAIRS = 1000, 300_000
-LAST = chr(0x2FFF)
+#: Bound of the bigram table: characters told apart, the most frequent ones of the whole table; all others count as one.
+LM_CHARS = 2000
+OTHER = chr(0x10FFFF)
 LETTERS = 160  # non-ASCII letters a unit may stand for: the most frequent ones
 ROUNDS, GAIN, SWAP_GAIN, PASSES = 3, 4.0, 12.0, 4
 #: Weight of the code pages' letter among the expected counts; least share of a learned letter that is sure.
@@ -172,13 +172,30 @@ def listed_swaps() -> set[str]:
 
 
 def plausible(letter: str | None) -> bool:
-    """A letter or mark of the scripts the code pages are for, and no control character."""
+    """A letter or mark of the scripts the code pages are for, and no control character.
+
+    Sequences of other scripts can't be told from words: in good texts letters
+    follow each other as the bytes of such a character do on some page. They are
+    looked at where a text is unlikely.
+    """
     if letter is None:
         return False
     c = ord(letter[0])
     return 0xA0 <= c <= 0x17F or 0x400 <= c <= 0x45F or 0x2010 <= c <= 0x203A or c in (0x20AC, 0x2122)
 
 
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+def stretches(text: str) -> str:
+    """All runs of characters beyond ASCII, each with the character before and after it."""
+    out = []
+    for m in BEYOND_ASCII.finditer(text):
+        a, b = m.span()
+        out.append(f"{text[a - 1] if a else ' '}{m.group()}{text[b] if b < len(text) else ' '}")
+    return "\n".join(out)
+
+
 #: A unit lies within one of these.
 RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
@@ -216,19 +233,21 @@ class Bigrams:
         for (a, b), n in counts.items():
             one[a] += n / 2
             one[b] += n / 2
+        one.pop(ord(OTHER), None)
         chars = sorted(c for c, _ in one.most_common(LM_CHARS))
-        self.index = np.full(0x3000, len(chars), np.int32)
-        self.index[[c for c in chars if c < 0x3000]] = [i for i, c in enumerate(chars) if c < 0x3000]
+        self.index = np.full(0x110000, len(chars), np.int16)
+        self.index[chars] = np.arange(len(chars))
         size = len(chars) + 1
         table = np.full((size, size), 0.02)
-        for (a, b), n in counts.items():
-            table[self.index[min(a, 0x2FFF)], self.index[min(b, 0x2FFF)]] += max(n, 0)
+        if counts:
+            pairs = np.array(list(counts), np.int64)
+            np.add.at(table, (self.index[pairs[:, 0]], self.index[pairs[:, 1]]), np.maximum(np.array(list(counts.values())), 0))
         self.log = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
         self.letters = [chr(c) for c, _ in one.most_common() if c > 127 and chr(c).isprintable()][:LETTERS]
 
     def codes(self, text: str) -> np.ndarray:
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.index[np.minimum(cp, 0x2FFF)]
+        return self.index[cp]
 
     def steps(self, text: str) -> np.ndarray:
         c = self.codes(f" {text} ")
@@ -236,18 +255,25 @@ class Bigrams:
 
 
 def count_bigrams(texts: DataFrame) -> dict[tuple[int, int], float]:
-    """Bigrams of all texts without units; summed in each batch, then in Spark."""
+    """Bigrams of all texts without units; summed in each batch, then in Spark. At most (``LM_CHARS`` + 1)² rows reach the driver, whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             joined = " " + "\n ".join(t for t in b["text"] if t.isascii() or not ("�" in t or ODD_WORD.search(t) or has_units(t))) + " "
-            cp = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0x2FFF).astype(np.int64)
-            pair, n = np.unique(cp[:-1] * 0x3000 + cp[1:], return_counts=True)
-            yield pd.DataFrame({"pair": pair, "n": n})
-
-    summed = texts.select("text").mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    rows = summed.orderBy(F.desc("n"), "pair").limit(LM_PAIRS).toPandas()
-    return {(int(p) // 0x3000, int(p) % 0x3000): float(n) for p, n in zip(rows["pair"], rows["n"], strict=True)}
+            cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            pair, n = np.unique(cp[:-1] << 32 | cp[1:], return_counts=True)
+            yield pd.DataFrame({"a": (pair >> 32).astype(np.int32), "b": (pair & 0xFFFFFFFF).astype(np.int32), "n": n})
+
+    by_pair = texts.select("text").mapInPandas(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = written(by_pair)
+    chars = pairs.select(F.explode(F.array("a", "b")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    kept = [r["c"] for r in chars.orderBy(F.desc("n"), "c").limit(LM_CHARS).collect()]
+    told = F.broadcast(texts.sparkSession.createDataFrame([(c,) for c in kept], "c int"))
+    for side in ("a", "b"):
+        pairs = pairs.join(told.select(F.col("c").alias(side), F.lit(True).alias("_k")), side, "left")
+        pairs = pairs.withColumn(side, F.when(F.col("_k"), F.col(side)).otherwise(ord(OTHER))).drop("_k")
+    rows = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas().sort_values(["a", "b"])
+    return {(int(a), int(b)): float(n) for a, b, n in zip(rows["a"], rows["b"], rows["n"], strict=True)}
 
 
 class Model:
@@ -261,7 +287,7 @@ class Model:
         self.top: dict[tuple[str, str], str | None] = {}
         pairs = np.array(list(counts), np.int64).reshape(-1, 2)
         n = np.array(list(counts.values()))
-        logs = self.lm.log[self.lm.index[np.minimum(pairs[:, 0], 0x2FFF)], self.lm.index[np.minimum(pairs[:, 1], 0x2FFF)]]
+        logs = self.lm.log[self.lm.index[pairs[:, 0]], self.lm.index[pairs[:, 1]]]
         self.usual = float((logs * n).sum() / n.sum()) if len(n) else 0.0
 
     def letters_of(self, cipher: Cipher, unit: str) -> dict[str, float]:
@@ -286,9 +312,9 @@ class Model:
 
     def _best_letter(self, cipher: Cipher, unit: str) -> str | None:
         book = cipher.by_the_book(unit)
-        known = self.letters_of(cipher, unit)
-        if not known:
-            return None
+        known = self.learned.get(cipher.name, {}).get(unit)
+        if not known:  # no text has taught a letter
+            return book if book is not None or cipher.wide or unit in cipher.to_byte else unit
         top = max(known, key=lambda x: (known[x], x))
         return top if known[top] > SURE else book
 
@@ -313,25 +339,44 @@ class Model:
 
         return cipher.pattern.sub(fold, text).translate(table)
 
-    def ranked(self, text: str) -> list[tuple[float, Cipher, str]]:
-        """(gain in log likelihood, cipher, decoded text), best first.
+    def likeliest(self, text: str) -> tuple[Cipher, str] | None:
+        """The cipher, and the text decoded by it, of the greatest gain in log likelihood, if that is enough.
 
-        A mostly ASCII text in which whole UTF-8 sequences decode into something
-        much likelier isn't tried for one-byte confusions.
+        Gains are reckoned on the stretches beyond ASCII and their neighbours, as
+        no cipher changes anything else. A mostly ASCII text in which whole UTF-8
+        sequences decode into something much likelier isn't tried for one-byte
+        confusions.
         """
-        out: list[tuple[float, Cipher, str]] = []
-        old = float(self.lm.steps(text).sum())
+        part = stretches(text)
+        if not part:
+            return None
+        old = float(self.lm.steps(part).sum())
         latin = 2 * len(text.encode("ascii", "ignore")) > len(text) * 1.2
+        best, gain = None, 0.0
         for c in CIPHERS:
-            if not c.wide and latin and out and max(g for g, _, _ in out) > SWAP_GAIN:
-                break
-            if c.pattern.search(text):
-                new = self.decode(c, text)
-                if new != text:
+            if c.wide and c.pattern.search(part):
+                new = self.decode(c, part)
+                if new != part:
                     g = float(self.lm.steps(new).sum()) - old + float(np.log(self.weight[c.name]))
-                    if g > (GAIN if c.wide else SWAP_GAIN):
-                        out.append((g, c, new))
-        return sorted(out, key=lambda x: -x[0])
+                    if g > GAIN and (best is None or g > gain):
+                        best, gain = c, g
+        if best is None or not latin or gain <= SWAP_GAIN:
+            chars, codes = np.unique(np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+            step, n = np.unique(codes[:-1].astype(np.int64) * len(chars) + codes[1:], return_counts=True)
+            a, b = step // len(chars), step % len(chars)
+            letters = [chr(c) for c in chars]
+            here = self.lm.index[chars]
+            before = float(self.lm.log[here[a], here[b]] @ n.astype(np.float32))
+            for c in CIPHERS:
+                if not c.wide and c.pattern.search(part):
+                    there = self.lm.index[[ord((self.best_letter(c, x) or x)[0]) if x > "\x7f" else ord(x) for x in letters]]
+                    g = float(self.lm.log[there[a], there[b]] @ n.astype(np.float32)) - before + float(np.log(self.weight[c.name]))
+                    if g > SWAP_GAIN and (best is None or g > gain):
+                        best, gain = c, g
+        if best is None:
+            return None
+        new = self.decode(best, text)
+        return (best, new) if new != text else None
 
     def unlikely(self, text: str) -> bool:
         """Has a stretch much less likely than usual, or one step that is very rare."""
@@ -353,8 +398,8 @@ class Model:
         key = new.astype(np.int64) @ np.random.default_rng(1).integers(1, 1 << 40, len(held))
         first = np.sort(np.unique(key, return_index=True)[1])
         index = self.lm.index
-        table = np.tile(index[np.minimum(chars, 0x2FFF)], (len(first), 1))
-        table[:, held] = index[np.minimum(points, 0x2FFF)][new[first]]
+        table = np.tile(index[chars], (len(first), 1))
+        table[:, held] = index[points][new[first]]
         step, n = np.unique(codes[:-1].astype(np.int64) * len(chars) + codes[1:], return_counts=True)
         a, b = step // len(chars), step % len(chars)
         changed = np.isin(a, held) | np.isin(b, held)
@@ -366,11 +411,11 @@ class Model:
         """(listed cipher undone, text then), until none makes the text likelier."""
         done = []
         for _ in range(PASSES):
-            best = self.ranked(text)
-            if not best:
+            best = self.likeliest(text)
+            if best is None:
                 break
-            done.append(best[0][1:])
-            text = best[0][2]
+            done.append(best)
+            text = best[1]
         return done
 
     def steps(self, text: str) -> np.ndarray:
@@ -402,8 +447,8 @@ class Model:
 
     def first(self, text: str) -> list[tuple[Cipher, str]]:
         """The first step of ``undone``, if any."""
-        best = self.ranked(text)[:1]
-        return [best[0][1:]] if best and not self.unlikely(best[0][2]) else self.undone(text)[:1]
+        best = self.likeliest(text)
+        return [best] if best and not self.unlikely(best[1]) else self.undone(text)[:1]
 
     def repair(self, text: str) -> tuple[str, str]:
         """(restored text, ciphers undone)."""
@@ -467,13 +512,12 @@ SUMS = ["cipher", "unit", "letter", "n"]
 
 
 def summed_shares(rows: Iterable[tuple[str, str, str, str, str, float]]) -> list[tuple[str, str, str, float]]:
-    """Rows of ``SUMS`` of (cipher, left, unit, right, letter, n); characters beyond the bigrams' range count as its last."""
+    """Rows of ``SUMS`` of (cipher, left, unit, right, letter, n)."""
     sums: Counter = Counter()
-    low = lambda c: c if c < LAST else LAST
     for cipher, left, unit, right, letter, n in rows:
         sums[cipher, unit, letter] += n
-        sums["", low(left), low(letter[0])] += n
-        sums["", low(letter[-1]), low(right)] += n
+        sums["", left, letter[0]] += n
+        sums["", letter[-1], right] += n
     return [(*k, n) for k, n in sums.items()]
 
 

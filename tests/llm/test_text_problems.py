@@ -74,7 +74,6 @@ def test_no_expectation_is_cut(spark, monkeypatch):
     texts = er.fields_of(spark.createDataFrame(rows, "id string, title string"), "id", ["title"])
     counts = er.count_bigrams(texts)
     monkeypatch.setattr(er, "count_bigrams", lambda _: dict(counts))
-    monkeypatch.setattr(er, "LM_PAIRS", 1)
     model, _ = er.learn(texts, 1)
     assert {er.cipher_of("utf-8>cp1252").by_the_book(u) for u in model.learned["utf-8>cp1252"]} == set("ñíúá") & set(CLEAN[0])
 
