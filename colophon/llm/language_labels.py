@@ -4,14 +4,19 @@ A sparse multinomial logistic regression on TF-IDF weighted character n-grams
 (hashed, two to four characters), trained by follow-the-regularised-leader with
 elastic-net penalties and calibrated by a temperature on held-out texts. Inverse
 document frequencies are counted over all texts in Spark. The labelled texts the
-classifier is fitted on are a bounded sample (``SAMPLE`` titles and as many
-opening sentences, by hash of their id); since some labels are wrong, each half
-is first judged by a model of the other half and rows that disagree are left
-out.
+classifier is fitted on are a bounded sample, by hash of their id: ``SAMPLE``
+titles and as many opening sentences, and of each label at least ``PER_LABEL`` of
+either, so that rare languages are in it. Since some labels are wrong, each half
+is first judged by a model of the other half; rows that disagree are left out,
+and so are languages most of whose texts are taken for another's (a label that
+occurs by mistake only). What share of the table a language has doesn't matter.
 
 A text is cut into sentences, each scored from prefix sums of its n-grams, and
 the best path through the sentences, where a change of language costs
-``SWITCH``, gives the segments. Words in brackets and lists of keywords don't
+``SWITCH``, gives the segments. A segment's confidence is the calibrated
+probability of its language given all its n-grams together; temperatures are
+fitted by length on pieces of held-out texts, one error more than seen among them
+being allowed for. Words in brackets and lists of keywords don't
 make a segment. Garbled texts are read as repaired.
 
 Defined results: null, empty and blank texts aren't rows; a text without letters
@@ -27,7 +32,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm import encoding_repair as er
@@ -35,11 +40,17 @@ from colophon.llm import encoding_repair as er
 BITS, ORDERS = 17, (2, 3, 4)
 SAMPLE = 4000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 2
-LEAST_SHARE = 0.01
+#: Rows sampled of each label besides; a language is told apart if at least so many of its texts, and half of them, are recognised by a model fitted on others.
+PER_LABEL, LEAST_TEXTS, LEAST_AGREED = 200, 5, 0.5
+#: Texts of a language rarer than this in the sample are learned from again, up to so many times.
+BALANCE, MOST_TIMES = 100, 25
+#: Upper bounds, in letters, of the lengths for which confidences are calibrated.
+LENGTHS = (8, 16, 32, 96)
 SWITCH, SHORT = 6.0, 20
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+|\s*\n+\s*|\s+—\s+")
 BRACKETED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
 KEYWORDS = re.compile(r"^[^:.,]{1,24}:\s*(?:\S+(?:\s\S+){0,2},\s*)*\S+(?:\s\S+){0,2}$")
+MOST_CODES = 10_000
 NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -103,6 +114,7 @@ class Classifier:
         self.w = np.zeros((1 << BITS, len(self.classes)), np.float32)
         self.bias = np.zeros(len(self.classes), np.float32)
         self.temperature = 1.0
+        self.by_length = np.ones(len(LENGTHS) + 1)
 
     def fit(self, texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Classifier:
         """FTRL-proximal, one text at a time."""
@@ -141,17 +153,28 @@ class Classifier:
         self.idf2 = self.idf**2
         return self
 
-    def logits(self, texts: Sequence[str]) -> np.ndarray:
-        """One row per text: sums of n-gram scores between its bounds over the length of its TF-IDF vector."""
-        out = np.zeros((len(texts), len(self.classes)))
+    def sums(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the sums of its n-grams' scores and of their squared weights; both add up over the parts of a text."""
+        out, norm = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts))
         for a in range(0, len(texts), 512):
             ids, sizes = grams(texts[a : a + 512])
             full = np.flatnonzero(sizes)
             starts = (np.cumsum(sizes) - sizes)[full]
             if len(full):
-                norm = np.sqrt(np.add.reduceat(self.idf2[ids], starts))
-                out[a + full] = np.add.reduceat(self.scored[ids], starts, axis=0) / norm[:, None]
-        return out + self.bias
+                norm[a + full] = np.add.reduceat(self.idf2[ids], starts)
+                out[a + full] = np.add.reduceat(self.scored[ids], starts, axis=0)
+        return out, norm
+
+    def joined(self, sums: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Logits: sums of n-gram scores over the length of the TF-IDF vector."""
+        return sums / np.sqrt(np.maximum(norm, 1e-12))[..., None] + self.bias
+
+    def logits(self, texts: Sequence[str]) -> np.ndarray:
+        return self.joined(*self.sums(texts))
+
+    def confidence(self, logits: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of texts of so many letters."""
+        return np.exp(_log_softmax(logits / self.by_length[np.searchsorted(LENGTHS, letters)][..., None]))
 
     def log_proba(self, texts: Sequence[str]) -> np.ndarray:
         return _log_softmax(self.logits(texts) / self.temperature)
@@ -161,16 +184,49 @@ class Classifier:
         x, y = self.logits(texts), np.asarray(labels)
         loss = lambda t: -_log_softmax(x / t)[np.arange(len(y)), y].mean()
         self.temperature = float(min(np.geomspace(0.01, 3, 80), key=loss)) if len(y) else 1.0
+        size, k = np.searchsorted(LENGTHS, letters(texts)), max(2, len(self.classes))
+        for b in range(len(LENGTHS) + 1):
+            own, mine = x[size == b], y[size == b]
+            if len(own):
+                # one error more than seen: no sample shows that there are none
+                slip = 1 / (len(own) + 2)
+                spread = np.full((len(own), k), slip / (k - 1))
+                spread[np.arange(len(own)), mine] = 1 - slip
+                spread = spread[:, : own.shape[1]]
+                self.by_length[b] = min(np.geomspace(0.01, 10, 120), key=lambda t: -(spread * _log_softmax(own / t)).sum(axis=1).mean())
         return self
 
 
+def letters(texts: Sequence[str]) -> np.ndarray:
+    """Number of letters of each text."""
+    return np.array([len(NOT_LETTER.sub("", t)) for t in texts], np.int64)
+
+
+def reliability(model: Classifier, texts: Sequence[str], labels: Sequence[int], bins: int = 10) -> pd.DataFrame:
+    """Per class of length: texts, accuracy, mean confidence, log-loss and expected calibration error."""
+    size = letters(texts)
+    p = model.confidence(model.logits(texts), size)
+    top, sure, y = p.argmax(axis=1), p.max(axis=1), np.asarray(labels)
+    rows = []
+    for b, most in enumerate([*LENGTHS, None]):
+        own = np.flatnonzero(np.searchsorted(LENGTHS, size) == b)
+        if len(own):
+            hit, conf = top[own] == y[own], sure[own]
+            at = np.minimum((conf * bins).astype(int), bins - 1)
+            error = sum(abs(hit[at == i].mean() - conf[at == i].mean()) * (at == i).mean() for i in range(bins) if (at == i).any())
+            rows.append((most, len(own), hit.mean(), conf.mean(), -np.log(np.maximum(p[own, y[own]], 1e-12)).mean(), error))
+    return pd.DataFrame(rows, columns=["most_letters", "n", "accuracy", "confidence", "log_loss", "calibration_error"])
+
+
 def unaccented(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
 def named(label: Column, codes: DataFrame) -> Column:
-    """The ``lang_code`` a label names in any spelling, or null. The table of codes is a small fixed list."""
-    rows = codes.limit(10_000).collect()
+    """The ``lang_code`` a label names in any spelling, or null. The table of codes is a small fixed list; one of more than ``MOST_CODES`` is refused."""
+    rows = codes.limit(MOST_CODES + 1).collect()
+    if len(rows) > MOST_CODES:
+        raise ValueError(f"more than {MOST_CODES} language codes")
     names = {str(v).strip().lower(): r["lang_code"] for r in rows for v in (r["lang_name"], r["short_code"], r["lang_code"]) if v}
     text = F.lower(F.trim(F.regexp_replace(F.trim(label), "^__label__", "")))
     pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
@@ -178,42 +234,64 @@ def named(label: Column, codes: DataFrame) -> Column:
 
 
 def labelled(df: DataFrame, codes: DataFrame, size: int) -> pd.DataFrame:
-    """At most twice ``size`` rows text, label: titles, and opening sentences whose two labels agree."""
+    """Rows text, label: titles, and opening sentences whose two labels agree; of either at most ``size`` and ``PER_LABEL`` of each label."""
     df = df.select("id", "title", "abstract", *[named(F.col(c), codes).alias(c) for c in ("language", "pred_lang_title", "pred_lang_abstract")])
     by = F.xxhash64("id")
     titles = df.where("trim(title) != '' and pred_lang_title is not null").select(by.alias("h"), F.col("title").alias("text"), F.col("pred_lang_title").alias("label"))
     first = F.element_at(F.split("abstract", r"(?<=[.!?…])\s+|\n", 2), 1)
     opening = df.where("trim(abstract) != '' and language = pred_lang_abstract").select(by.alias("h"), first.alias("text"), F.col("language").alias("label"))
-    return pd.concat([x.orderBy("h", "text").limit(size).toPandas() for x in (titles, opening)], ignore_index=True)
+    first_of = Window.partitionBy("label").orderBy("h", "text")
+    parts = []
+    for x in (titles, opening):
+        rare = x.withColumn("_r", F.row_number().over(first_of)).where(F.col("_r") <= PER_LABEL).drop("_r")
+        parts.append(x.orderBy("h", "text").limit(size).unionByName(rare).distinct().toPandas())
+    return pd.concat(parts, ignore_index=True)
 
 
 def train(df: DataFrame, codes: DataFrame, texts: DataFrame, size: int = SAMPLE) -> Classifier:
     """The fitted and calibrated classifier."""
     counts, total = document_frequency(texts)
     idf = np.log((1 + total) / (1 + counts)) + 1.0
-    rows = labelled(df, codes, size).sort_values(["h", "text"], ignore_index=True)
-    share = rows["label"].value_counts(normalize=True)
-    classes = sorted(share.index[share >= LEAST_SHARE])
-    rows = rows[rows["label"].isin(classes)].reset_index(drop=True)
+    return fit_labelled(labelled(df, codes, size), idf)[0]
+
+
+def balanced(texts: Sequence[str], labels: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Texts of rare classes repeated, or the few of a rare language would never outweigh what is likelier beforehand."""
+    counts = np.bincount(labels)
+    times = np.clip(-(-BALANCE // np.maximum(counts, 1)), 1, MOST_TIMES)[labels]
+    at = np.repeat(np.arange(len(labels)), times)
+    return [texts[i] for i in at], labels[at]
+
+
+def fit_labelled(rows: pd.DataFrame, idf: np.ndarray) -> tuple[Classifier, list[tuple[str, int]]]:
+    """(classifier, held-out pieces with their classes) of rows ``h, text, label``, some of them labelled wrongly."""
+    rows = rows.sort_values(["h", "text", "label"], ignore_index=True)
+    classes = sorted(rows["label"].unique())
     y = np.array([classes.index(x) for x in rows["label"]], np.int64)
     x = rows["text"].tolist()
     if not len(x):
-        return Classifier(idf, classes or ["und"]).pack()
+        return Classifier(idf, ["und"]).pack(), []
     half = np.arange(len(x)) % 2
     good = np.ones(len(x), bool)
     for h in (0, 1):
         seen, judged = np.flatnonzero(half != h), np.flatnonzero(half == h)
         if len(seen) and len(judged):
-            m = Classifier(idf, classes).fit([x[i] for i in seen], y[seen]).pack()
+            m = Classifier(idf, classes).fit(*balanced([x[i] for i in seen], y[seen])).pack()
             good[judged] = m.logits([x[i] for i in judged]).argmax(axis=1) == y[judged]
+    # a label most of whose texts are taken for another's language occurs by mistake
+    agreed, all_ = np.bincount(y[good], minlength=len(classes)), np.bincount(y, minlength=len(classes))
+    real = (agreed >= LEAST_TEXTS) & (agreed >= LEAST_AGREED * all_)
+    good &= real[y]
     kept = np.flatnonzero(good) if good.any() else np.arange(len(x))
+    if good.any():
+        classes, y = [c for c, r in zip(classes, real, strict=True) if r], (np.cumsum(real) - 1)[y]
     held = kept[::5]
     fitted = np.setdiff1d(kept, held) if len(kept) > 20 else kept
     more = [t for i in fitted for t in (x[i], unaccented(x[i]))]
-    model = Classifier(idf, classes).fit(more, np.repeat(y[fitted], 2)).pack()
+    model = Classifier(idf, classes).fit(*balanced(more, np.repeat(y[fitted], 2))).pack()
     # whole texts are too easy to tell how sure the model may be of short ones
-    shorter = [(x[i][a : a + n], y[i]) for i in held for a, n in ((0, 400), (0, 24), (9, 12), (3, 8))]
-    return model.calibrate([t for t, _ in shorter], [k for _, k in shorter])
+    shorter = [(x[i][a : a + n], int(y[i])) for i in held for a, n in ((0, 400), (0, 24), (9, 12), (3, 8))]
+    return model.calibrate([t for t, _ in shorter], [k for _, k in shorter]), shorter
 
 
 def sentences(text: str) -> list[str]:
@@ -244,8 +322,9 @@ def segments(model: Classifier, texts: Sequence[str], whole: Sequence[bool]) ->
         plain = [BRACKETED.sub(" ", p) for p in parts]
         listed = [bool(KEYWORDS.match(p.strip().rstrip("."))) for p in parts]
         bare += ["" if k and not all(listed) else (p if NOT_LETTER.sub("", p) else q) for p, q, k in zip(plain, parts, listed, strict=True)]
-    scores = model.log_proba(bare)
-    size = np.array([len(NOT_LETTER.sub("", b)) for b in bare])
+    sums, norm = model.sums(bare)
+    scores = _log_softmax(model.joined(sums, norm) / model.temperature)
+    size = letters(bare)
     scores = np.where((size > 0)[:, None], scores, 0.0) * np.minimum(1.0, size / SHORT)[:, None]
     out, at = [], 0
     for parts in cut:
@@ -254,7 +333,8 @@ def segments(model: Classifier, texts: Sequence[str], whole: Sequence[bool]) ->
         marks = np.flatnonzero(np.diff(way)) + 1
         found = []
         for block in np.split(np.arange(len(parts)), marks):
-            p = np.exp(_log_softmax(s[block].sum(axis=0)))
+            spot = at + block
+            p = model.confidence(model.joined(sums[spot].sum(axis=0), norm[spot].sum()), size[spot].sum())
             found.append((model.classes[way[block[0]]], " ".join(parts[i] for i in block), float(p[way[block[0]]])))
         out.append(found)
         at += len(parts)

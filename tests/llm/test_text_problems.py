@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pandas as pd
@@ -96,6 +97,30 @@ def test_language_model_on_held_out_texts(spark, sf):
     assert all(0 <= g[2] <= 1 for s in got for g in s)
 
 
+def test_rare_languages_stay_and_mistaken_labels_go():
+    chance = random.Random(2)
+    words = {
+        "eng": "the of gap survey between cited work newspaper which editors measure public opinion years drought local community journal trust".split(),
+        "spa": "la el de encuesta mide entre lo citado trabajo periódico que editores opinión pública años sequía comunidad revista confianza".split(),
+        "deu": "der die das zwischen zitierte arbeit zeitung welche redaktion misst öffentliche meinung jahre dürre gemeinschaft vertrauen und nicht".split(),
+    }
+    text = lambda lang: " ".join(chance.choice(words[lang]) for _ in range(9))
+    rows = [("eng", text("eng")) for _ in range(1500)] + [("spa", text("spa")) for _ in range(1490)] + [("deu", text("deu")) for _ in range(8)]
+    rows += [("nld", text("eng")) for _ in range(12)] + [("eng", text("spa")) for _ in range(60)]
+    chance.shuffle(rows)
+    df = pd.DataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], columns=["h", "text", "label"])
+    model, held = ll.fit_labelled(df, np.ones(1 << ll.BITS))
+    assert model.classes == ["deu", "eng", "spa"]
+    fresh = [(text(lang), lang) for lang in words for _ in range(40)]
+    said = model.logits([t for t, _ in fresh]).argmax(axis=1)
+    assert sum(model.classes[i] == lang for i, (_, lang) in zip(said, fresh, strict=True)) >= 114
+    # confidences keep what they promise, and short pieces have less
+    pieces = [(t[a : a + n], model.classes.index(lang)) for t, lang in fresh if lang != "deu" for a, n in ((0, 60), (0, 14), (5, 7), (3, 4))]
+    table = ll.reliability(model, [t for t, _ in pieces], [k for _, k in pieces])
+    assert (table["calibration_error"] < 0.1).all() and (table["log_loss"] < 0.7).all()
+    assert table["confidence"].iloc[0] < table["confidence"].iloc[-1] < 1
+
+
 def test_ngrams_stay_inside_their_text():
     ids, sizes = ll.grams(["ab", "", "abc"])
     one, _ = ll.grams(["abc"])
