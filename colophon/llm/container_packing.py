@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-SHARD = 4000
+SHARD, MOST_KINDS = 4000, 1000
 PACKED = "container_kind string, capacity_tokens int, shard bigint, container_no int, doc_id bigint, piece_no int, first_token bigint, n_tokens bigint"
 
 
@@ -58,9 +58,17 @@ def assign(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic:
 
 
 def pieces(sizes: DataFrame, key: str, containers: DataFrame) -> DataFrame:
-    """One row per container kind and piece: ``key, piece_no, first_token, n_tokens``. The kinds are a small fixed list."""
-    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).where("capacity_tokens > 0")
-    items = sizes.where("n_tokens > 0").join(F.broadcast(kinds.limit(10_000)))  # rows x kinds, no pairs of rows
+    """One row per container kind and piece: ``key, piece_no, first_token, n_tokens``.
+
+    The kinds are a small fixed list, written into the plan as literals; one of more than ``MOST_KINDS`` is refused.
+    """
+    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
+    rows = sorted(kinds.limit(MOST_KINDS + 1).collect(), key=lambda r: (str(r[0]), r[1]))
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    entry = lambda kind, capacity: F.struct(F.lit(kind).cast("string").alias("container_kind"), F.lit(capacity).cast("int").alias("capacity_tokens"))
+    each = F.explode(F.array(*[entry(*r) for r in rows] or [entry(None, 1)]))
+    items = sizes.where("n_tokens > 0" if rows else "false").select(key, "n_tokens", each.alias("_kind")).select(key, "n_tokens", "_kind.*")
     last = F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens")).cast("int")
     cut = items.select("container_kind", "capacity_tokens", key, F.col("n_tokens").alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("piece_no"))
     first = F.col("piece_no").cast("bigint") * F.col("capacity_tokens")

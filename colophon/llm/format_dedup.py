@@ -1,7 +1,7 @@
 """Duplicates hidden by formatting: one record per group of copies, with their number.
 
-Records are made canonical (characters, case, blanks, punctuation, order of the
-fields inside bracketed entries), hashed to 128 bits, and counted per hash with
+Records are made canonical (characters: composed and decomposed accents, full-width
+signs and ligatures are one; case, blanks, punctuation, order of the fields inside bracketed entries), hashed to 128 bits, and counted per hash with
 map-side combining, so that a hash that a third of all rows share leaves each
 task as one row. A second, independent 64-bit hash and the length of the
 canonical text are part of the key: records that collide in 128 bits but not in
@@ -20,10 +20,13 @@ read, so clashing names do no harm.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from colophon.session import written
 
@@ -34,6 +37,30 @@ DOI_LABEL = r"^[\W_]*(?:(?:https?[\W_]*)?(?:(?:www|dx)\.)?doi\.org[\W_]*|(?:info
 HOT_SHARE = 1000
 
 
+#: Forms of one character: full-width signs, ligatures, and marks that follow their letter.
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).lower()
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+FORMS = "[\uff01-\uff5e\ufb00-\ufb06]"
+MARKS = r"\p{M}"
+
+
+def _folded(text: Column) -> Column:
+    """Full-width signs and ligatures as the plain letters; only texts that hold one pay for it."""
+    plain = F.translate(text, WIDE, NARROW)
+    for a, b in LIGATURES.items():
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return F.when(text.rlike(FORMS), plain).otherwise(text)
+
+
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """Letters and the marks after them as one character, where there is one."""
+    if text.null_count == len(text):
+        return text.cast(pa.string())
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
 def _entries(text: Column) -> Column:
     """Bracketed entries with the fields of each in a fixed order.
 
@@ -47,16 +74,21 @@ def _entries(text: Column) -> Column:
 
 
 def canonical(plain: Sequence[str], entries: Sequence[str] = (), doi: Sequence[str] = ()) -> Column:
-    """The canonical text of a record. Fields of bracketed entries are sorted, labels before a DOI dropped."""
+    """The text of a record before ``keyed`` folds it. Fields of bracketed entries are sorted, labels before a DOI dropped."""
     low = lambda c: F.replace(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("ß"), F.lit("ss"))
     parts = [F.regexp_replace(low(c), DOI_LABEL, "") for c in doi] + [low(c) for c in plain]
     parts += [F.when(F.contains(low(c), F.lit("{")), _entries(low(c))).otherwise(low(c)) for c in entries]
-    return F.regexp_replace(F.concat_ws(UNIT, *parts), DROPPED, "")
+    return F.concat_ws(UNIT, *parts)
 
 
 def keyed(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key`` with ``h128`` (16 bytes) and ``check`` (an independent hash and the length)."""
-    step = df.select(key, text.alias("_text"))
+    """``key`` with ``h128`` (16 bytes) and ``check`` (an independent hash and the length) of the canonical text.
+
+    Only texts that hold a combining mark are sent to a Python worker, to be composed.
+    """
+    step = df.select(key, text.alias("_text")).withColumn("_text", _folded(F.col("_text")))
+    step = step.withColumn("_text", F.regexp_replace("_text", DROPPED, ""))
+    step = step.withColumn("_text", F.coalesce(composed(F.when(F.col("_text").rlike(MARKS), F.col("_text"))), F.col("_text")))
     return step.select(
         key, F.unhex(F.md5(F.encode("_text", "utf-8"))).alias("h128"),
         F.struct(F.xxhash64("_text").alias("h64"), F.length("_text").alias("n")).alias("check"),

@@ -111,11 +111,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return cp.report(p8_packed(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict], DataFrame]:
     sizes = token_sizes(table(spark, d, "documents"), "text", keep=("doc_id", "source")).where("n_tokens > 0")
     sized = written(sizes.select("doc_id", sm.source_name(F.col("source")).alias("source"), "n_tokens", sm.bucket("doc_id").alias("bucket")))
     planned = sm.plan(sized, table(spark, d, "source_targets"))
-    return sm.mix(sized, "doc_id", planned), planned
+    return sm.mix(sized, "doc_id", planned), planned, sized
 
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,8 @@ reached are close to those planned whatever the sizes of the texts.
 
 The plan needs one number per source and hash bucket: at most ``BUCKETS`` rows
 for each source that has a target. Defined results: texts of a null or unknown
-source, or without tokens, are left out; a source without texts leaves its share
+source, or without tokens, are left out, and ``shares`` reports their tokens in a
+row of each mix without a source; a source without texts leaves its share
 to the others; targets are scaled to sum 1; if all sources are clamped the mix
 is as large as the caps allow; spellings of a source (case, blanks, hyphens)
 are one source.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 SEED = 20_240_501
+MOST_TARGETS = 100_000
 
 
 def source_name(source: Column) -> Column:
@@ -55,7 +57,9 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     ``sized``: ``source, bucket, n_tokens`` of every text. Without a total, a mix
     is as large as its sources together.
     """
-    goal = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats").limit(100_000).collect()
+    goal = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()
+    if len(goal) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     known = sorted({r["source"] for r in goal if r["source"]})
     sums = sized.where(F.col("source").isin(known)).groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")).collect()
     by: dict[str, list[float]] = {s: [0.0] * BUCKETS for s in known}
@@ -97,8 +101,8 @@ def mix(sized: DataFrame, key: str, planned: list[dict]) -> DataFrame:
     return used.select("mix_name", key, "source", "n_tokens", repeats.alias("n_repeats")).where("n_repeats > 0")
 
 
-def shares(mixed: DataFrame, planned: list[dict]) -> DataFrame:
-    """Per mix and source: target, planned and reached share, tokens, texts, repetitions."""
+def shares(mixed: DataFrame, planned: list[dict], sized: DataFrame | None = None) -> DataFrame:
+    """Per mix and source: target, planned and reached share, tokens, texts, repetitions; of ``sized`` also the tokens without a target."""
     spark = mixed.sparkSession
     rows = [(p["mix_name"], p["source"], p["target_share"], p["planned_share"], p["max_repeats"], p["source_tokens"]) for p in planned]
     goal = spark.createDataFrame(rows, "mix_name string, source string, target_share double, planned_share double, max_repeats int, source_tokens bigint")
@@ -107,4 +111,20 @@ def shares(mixed: DataFrame, planned: list[dict]) -> DataFrame:
     )
     all_ = sums.groupBy("mix_name").agg(F.sum("mixed_tokens").alias("_all"))
     full = goal.join(sums, ["mix_name", "source"], "left").join(all_, "mix_name", "left").fillna(0, ["mixed_tokens", "n_texts", "most_repeats"])
-    return full.withColumn("reached_share", F.coalesce(F.col("mixed_tokens") / F.col("_all"), F.lit(0.0))).drop("_all")
+    full = full.withColumn("reached_share", F.coalesce(F.col("mixed_tokens") / F.col("_all"), F.lit(0.0))).drop("_all")
+    if sized is None:
+        return full
+    none = lambda kind: F.lit(0).cast(kind)
+    listed: dict[str, list[str]] = {}
+    for p in planned:
+        listed.setdefault(p["mix_name"], []).append(p["source"])
+    left = {m: F.sum(F.when(F.col("source").isin(s), 0).otherwise(F.col("n_tokens"))) for m, s in listed.items()}
+    one = sized.agg(*[F.coalesce(v, none("bigint")).alias(m) for m, v in left.items()]) if left else None
+    if one is None:
+        return full
+    over = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mix_name"), F.col(f"`{m}`").alias("source_tokens")) for m in left])).alias("r")).select("r.*")
+    rest = over.select(
+        "mix_name", F.lit(None).cast("string").alias("source"), none("double").alias("target_share"), none("double").alias("planned_share"), none("int").alias("max_repeats"),
+        "source_tokens", none("bigint").alias("mixed_tokens"), none("bigint").alias("n_texts"), none("int").alias("most_repeats"), none("double").alias("reached_share"),
+    )
+    return full.unionByName(rest)

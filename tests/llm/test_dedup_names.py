@@ -29,6 +29,13 @@ def test_canonical_forms(spark):
     assert fd.copies(empty, "k").count() == 0 and fd.collisions(fd.groups(empty, "k")).count() == 0
 
 
+def test_forms_of_characters(spark):
+    texts = ["Café über", "Cafe\u0301 u\u0308ber", "CAFÉ ÜBER", "Cafe uber", "Ａbc １２", "abc 12", "ﬁn ﬂow", "FIN flow", "e\u0301" * 4000, "é" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.col("t").alias("title"), F.lit(None).cast("string").alias("people"), F.lit("").alias("doi"))
+    pairs = {(r["first_key"], r["k"]) for r in fd.copies(fd.keyed(df, "k", fd.canonical(["title"], ["people"], ["doi"])), "k").collect()}
+    assert pairs == {(0, 1), (0, 2), (4, 5), (6, 7), (8, 9)}
+
+
 def test_hot_group(spark):
     df = spark.range(3000).select((F.col("id") + 1).alias("k"), F.when(F.col("id") % 3 == 0, "x").otherwise(F.col("id").cast("string")).alias("t"))
     pairs = fd.copies(fd.keyed(df, "k", F.col("t")), "k", share=10).collect()

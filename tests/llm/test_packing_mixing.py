@@ -42,7 +42,9 @@ def test_packing(spark):
     assert all(r["t"] > 512 for r in cut if r["container_kind"] == "small") and not [r for r in cut if r["container_kind"] == "wide"]
     big = packed.where("doc_id = -1 and container_kind = 'small'").orderBy("piece_no").collect()
     assert [(r["first_token"], r["n_tokens"]) for r in big] == [(0, 512), (512, 512), (1024, 512), (1536, 512), (2048, 452)]
-    assert cp.pack(sizes.limit(0), "doc_id", kinds).count() == 0
+    assert cp.pack(sizes.limit(0), "doc_id", kinds).count() == 0 == cp.pack(sizes, "doc_id", kinds.limit(0)).count()
+    with pytest.raises(ValueError, match="kinds"):
+        cp.pieces(sizes, "doc_id", spark.range(1001).selectExpr("string(id) as container_kind", "1 as capacity_tokens"))
 
 
 def test_water_filling():
@@ -59,6 +61,8 @@ def test_mixing(spark):
     planned = sm.plan(sized, targets)
     mixed = sm.mix(sized, "doc_id", planned)
     rows = {r["source"]: r for r in sm.shares(mixed, planned).collect()}
+    whole = {r["source"]: r for r in sm.shares(mixed, planned, sized).collect()}
+    assert whole[None]["source_tokens"] == docs.where("source is null").agg(F.sum("n_tokens")).first()[0] and {k: v for k, v in whole.items() if k} == rows
     assert rows["a_b"]["reached_share"] == pytest.approx(0.8, abs=0.002) and rows["c"]["reached_share"] == pytest.approx(0.2, abs=0.002)
     assert mixed.agg(F.max("n_repeats")).first()[0] == 2 and rows["gone"]["n_texts"] == 0
     again = {(r["doc_id"], r["n_repeats"]) for r in sm.mix(sized.repartition(3), "doc_id", planned).collect()}
