@@ -5,6 +5,7 @@ import urllib.error
 import pytest
 
 from colophon.plans import report
+from colophon.session import join_split
 from colophon.sources import artifacts, csv_tree, rest, sinks
 from colophon.streaming import incremental
 
@@ -163,3 +164,12 @@ def test_report_json_is_whole(spark, tmp_path):
     report.write_report({"part": spark.range(rows).selectExpr("id", "if(id = 0, null, 'x') as v")}, str(tmp_path))
     lines = [json.loads(x) for f in (tmp_path / "part.json").glob("part-*") for x in f.read_text().splitlines()]
     assert sorted(r["id"] for r in lines) == list(range(rows)) and all("v" in r for r in lines)
+
+
+def test_split_join_agrees_with_a_plain_one(spark):
+    rows = spark.range(3000).selectExpr("id as r", "if(id % 3 = 0, 'hot', cast(id % 50 as string)) as k")
+    side = rows.where("k != '7'").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "concat(k, '!') as v")
+    for how in ("inner", "left"):
+        want = {(r["r"], r["v"]) for r in rows.join(side.drop("n"), "k", how).collect()}
+        got = join_split(rows, side, ["k"], "n", 3000, how, share=10)
+        assert sorted(got.columns) == ["k", "r", "v"] and {(r["r"], r["v"]) for r in got.collect()} == want
