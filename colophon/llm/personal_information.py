@@ -6,8 +6,8 @@
    the words before and after it.
 2. Every candidate is an edge between a *pattern* (kind and neighbouring words)
    and *instances* (the number's shape, the tokens of the name, the street).
-   Seeds are certain: numbers with an international prefix are phone numbers,
-   numbers after a label of ``ID_LABELS`` identify persons, names spelled out in
+   Seeds are certain: what has the form of an e-mail address is one, numbers with
+   an international prefix are phone numbers, numbers after a label of ``ID_LABELS`` identify persons, names spelled out in
    an e-mail address are names, streets with a postcode are streets.
 3. Spark scores the graph in turn: a pattern by the share of its edges that lead
    to known instances, an instance by its best patterns. After ``ROUNDS`` rounds
@@ -16,8 +16,10 @@
 4. Candidates are accepted by the scores of both ends; names inside the name of a
    prize or body are left out. ``mask`` puts typed placeholders into the text.
 
-The edges are summed before any shuffle, so a pattern or instance that a third of
-all candidates share is one row per task.
+The edges are summed before any shuffle. Where they, or the candidates, meet the
+scores of patterns and instances, those that hold a thousandth of all rows are
+broadcast and all others merged by shuffle: a pattern that a third of all
+candidates share is in no one task, and nothing that grows is broadcast.
 
 Defined results: null and empty texts have no rows; texts are scanned whole;
 where candidates overlap the one with the best score counts, then the
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.session import written
+from colophon.session import join_split, written
 
 ROUNDS, LEAST_SCORE, SURE_PATTERN = 4, 0.5, 0.8
 #: Words that, as the last ones before a number, say that it identifies a person.
@@ -50,7 +53,21 @@ BODY = frozenset(
     "prize foundation award medal fund institute institution lecture chair fellowship society centre center library archive archives school"
     " trust stiftung preis fondation prix fundación premio fundação prêmio fondazione yayasan hadiah фонд премия".split()
 )
-UP, LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪŁŃŇŌŘŚŞŠŤŪŮŹŻŽА-ЯЁ", "a-zß-öø-ÿāăąćčďđēęěğīłńňōřśşšťūůźżžа-яё"
+
+
+def _letters(kinds: tuple[str, ...]) -> str:
+    """A class of characters: the letters of these Unicode categories in the alphabets that have capitals."""
+    out: list[str] = []
+    codes = [c for c in (*range(0x41, 0x590), *range(0x1E00, 0x2000)) if unicodedata.category(chr(c)) in kinds]
+    for c in codes:
+        if out and ord(out[-1][-1]) == c - 1:
+            out[-1] = out[-1][0] + chr(c)
+        else:
+            out.append(chr(c))
+    return "".join(r if len(r) == 1 else f"{r[0]}-{r[1]}" for r in out)
+
+
+UP, LOW = _letters(("Lu", "Lt")), _letters(("Ll",))
 WORD = rf"[{UP}][{UP}{LOW}'’]*[{UP}{LOW}](?:-[{UP}][{UP}{LOW}'’]+)*"
 LINK = r"(?:de|van|von|da|di|del|della|dos|du|den|der|la|le)"
 NAME = re.compile(rf"[{UP}](?:\.|[{UP}{LOW}'’-]+)(?:,? (?:{LINK} )?(?:{WORD}|[{UP}]\.))+(?![\w@])")
@@ -62,13 +79,12 @@ DIGITS = re.compile(r"\d(?:[\d ()./-]*\d)?")
 NUMBER_END = re.compile(r"(?:-?[A-Z]\b)?(?: ?(?:ext|x|Ext)\.? ?\d+)?(?![\w@])")
 ID_START = re.compile(r"(?:(?<=\W)|^)[A-Z]{1,2}$")
 AT_SIGNS = ("@", "[at]", "(at)", "{at}", "[ at ]", "( at )", "{ at }", " at ", " AT ", "(AT)", "[AT]", "{AT}")
-LOCAL = re.compile(r"[\w.+-]+$")
 DOMAIN = re.compile(r"[\w-]+(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) )[\w-]+)+")
 HOUSE = r"\d{1,4}(?: ?[a-z]\b| bis\b)?"
 POST = r"\b\d{4,6}\b"
 TOWN = rf"(?:St\. |Saint-)?{WORD}(?: (?:{LINK}|das|do|de la|am|an der|sur|upon) {WORD}| {WORD}){{0,2}}"
 STREET_EN = rf"(?:St\. )?(?:{WORD} ){{1,3}}(?:{WORD})"
-STREET_FR = rf"(?:rue|avenue|impasse|boulevard|place|quai|chemin|allée|passage|route) [^\n,|.\d]{{2,40}}?"
+STREET_FR = rf"(?:rue|avenue|impasse|boulevard|place|quai|chemin|allée|passage|route) [^\n,|.\d]{{2,}}?"
 STREET = (
     rf"(?:(?:Jl\. |ул\. |пр\. )?(?:{WORD}|via|viale|piazza|corso|vicolo|largo|strada)(?: (?:{LINK}|de los|de la|de las|das|do|dei|delle|degli|{WORD})){{0,4}})"
 )
@@ -81,29 +97,24 @@ ADDRESSES = [
     ),
     re.compile(rf"(?:(?P<p>{POST}), (?P<t>{TOWN}), )?(?<![\w-])(?P<s>{RU_STREET}),? (?:д|кв)\. ?\d+\w?(?:, (?:кв|к)\. ?\d+)?(?:, (?P<u>{TOWN}))?"),
 ]
-CANDIDATE = "kind string, text string, at int, upto int, left_words string, right_word string, inst array<string>, seed boolean, town string"
+CANDIDATE = "kind string, text string, at int, upto int, left_words string, right_word string, inst array<string>, seed boolean, town string, spelled array<string>"
 #: What follows a house number.
 AFTER_HOUSE = re.compile(rf"(?: ?[a-z]\b| bis\b)?(?:,| [{UP}]| RT | (?:rue|avenue|impasse|boulevard|place|quai|chemin|allée|passage|route)\b)")
-REACH = 110
+#: Words before and after a house number that an address may have.
+REACH = 18
 #: Words of a name, links and initials included.
 MOST_WORDS = 5
 
 
 def addresses(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, re.Match, int, int]]:
-    """(number of the pattern, match, start, end), looked for around what may be a house number."""
+    """(number of the pattern, match, start, end), looked for among the words around what may be a house number."""
     seen = set()
     for a, b in runs:
         first = re.match(r"\d+", text[a:b]).end()
         flat = text[max(0, a - 3) : a]
         if first > 4 or (text[a - 1 : a] not in (" ", "\n", "") and a) or not (AFTER_HOUSE.match(text, a + first) or flat in ("д. ", "в. ")):
             continue
-        lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-        lo = max(lo, text.rfind("\n", lo, a) + 1)
-        stop = text.find("\n", b, hi)
-        hi = stop if stop >= 0 else hi
-        # not from the middle of a word
-        while 0 < lo < a and text[lo - 1].isalnum():
-            lo += 1
+        lo, hi = _words_around(text, a, b, REACH)
         window = text[lo:hi]
         for number, pattern in enumerate(ADDRESSES):
             for m in pattern.finditer(window):
@@ -115,6 +126,26 @@ def addresses(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, re.
 
 
 
+BLANK = re.compile(r"[ \n]")
+
+
+def _words_around(text: str, a: int, b: int, most: int) -> tuple[int, int]:
+    """Bounds of a span with up to so many words of its line on either side, however long they are."""
+    lo = a
+    for _ in range(most + 1):
+        line, word = text.rfind("\n", 0, lo), text.rfind(" ", 0, lo)
+        lo = max(line, word)
+        if lo == line:
+            break
+    hi = b
+    for _ in range(most + 1):
+        m = BLANK.search(text, hi + 1)
+        hi = m.start() if m else len(text)
+        if hi == len(text) or text[hi] == "\n":
+            break
+    return lo + 1, hi
+
+
 @lru_cache(maxsize=100_000)
 def plain(word: str) -> str:
     word = unicodedata.normalize("NFKD", word.lower().replace("ß", "ss").replace("ø", "o"))
@@ -147,24 +178,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         if at < done:
             continue
         word = mark.strip() in ("at", "AT")
-        head, tail = text[max(0, at - 66) : at], text[at + len(mark) : at + len(mark) + 120]
-        if word:
-            gap_l = gap_r = 0
-            if "dot" not in tail and "DOT" not in tail:
-                continue
-        else:
-            gap_l, gap_r = len(head) - len(head.rstrip(" ")), len(tail) - len(tail.lstrip(" "))
+        after = at + len(mark)
+        gap_l = gap_r = 0
+        if not word:
+            gap_l = 2 if text[max(0, at - 2) : at] == "  " else int(text[at - 1 : at] == " ")
+            gap_r = 2 if text[after : after + 2] == "  " else int(text[after : after + 1] == " ")
             if gap_l > 1 or gap_r > 1 or (mark == "@" and gap_l != gap_r):
                 continue
-        local = LOCAL.search(head.rstrip(" ") if gap_l else head)
-        domain = DOMAIN.match(tail, gap_r)
-        if not local or not domain or (word and not re.search(r"dot|DOT", domain.group())):
-            continue
-        if re.split(r"\W+", domain.group())[-1].isdigit():
+        domain = DOMAIN.match(text, after + gap_r)
+        if not domain or (word and not re.search(r"dot|DOT", domain.group())) or re.split(r"\W+", domain.group())[-1].isdigit():
             continue
-        start = at - gap_l - len(local.group().lstrip(".+-"))
-        done = at + len(mark) + domain.end()
-        yield start, done
+        end = start = at - gap_l
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        start += len(text[start:end]) - len(text[start:end].lstrip(".+-"))
+        if start < end:
+            done = domain.end()
+            yield start, done
 
 
 def shape(number: str) -> str:
@@ -245,7 +275,7 @@ def names(text: str) -> Iterator[tuple[int, int]]:
                     x, y = words[i][0], words[j - 1][1]
                     y -= text[y - 1] == ","
                     part = text[x:y]
-                    if y - x <= 90 and part[0].isupper() and name_parts(part) and not re.fullmatch(LINK, text[slice(*words[j - 1])].rstrip(",")):
+                    if part[0].isupper() and name_parts(part) and not re.fullmatch(LINK, text[slice(*words[j - 1])].rstrip(",")):
                         yield x, y
     for at, mark in _spots(text, ("Dr. ", "Prof. ", "Mr. ", "Ms. ", "Mrs. ")):
         low = LOWER_NAME.match(text, at + len(mark))
@@ -260,7 +290,8 @@ def candidates(text: str) -> Iterator[tuple]:
         spans.append((a, b))
         local = re.split(r"[^\w.]", plain(text[a:b]), maxsplit=1)[0].split(".")
         pair = [w for w in local if w.isalpha() and len(w) > 2]
-        yield "email", text[a:b], a, b, "", "", pair if len(pair) == 2 and len(local) == 2 else [], True, ""
+        left, right = around(text, a, b)
+        yield "email", text[a:b], a, b, left, right, ["@"], True, "", pair if len(pair) == 2 and len(local) == 2 else []
     inside = lambda a, b: any(x < b and a < y for x, y in spans)
     runs = [m.span() for m in DIGITS.finditer(text)]
     for a, b in numbers(text, runs):
@@ -269,8 +300,8 @@ def candidates(text: str) -> Iterator[tuple]:
         s, (left, right) = text[a:b], around(text, a, b)
         form = shape(s)
         label = bool(ID_LABELS.search(text[max(0, a - 40) : a]))
-        yield "phone", s, a, b, left, right, [form], s.startswith("+") and not label, ""
-        yield "idnum", s, a, b, left, right, [form], label, ""
+        yield "phone", s, a, b, left, right, [form], s.startswith("+") and not label, "", []
+        yield "idnum", s, a, b, left, right, [form], label, "", []
     seen = set()
     for number, m, lo, start in addresses(text, runs):
         g = m.groupdict()
@@ -288,12 +319,12 @@ def candidates(text: str) -> Iterator[tuple]:
                 # unsure only where a capital follows, which may belong to the town or begin a sentence
                 firm = not re.match(rf" [{UP}]", text[end : end + 2]) or text[end - 1].isdigit()
                 sure = post or number == len(ADDRESSES) - 1
-                yield "address", text[start:end], start, end, left, right, [plain(g["s"])], sure, ("!" if firm else "?") + plain(short)
+                yield "address", text[start:end], start, end, left, right, [plain(g["s"])], sure, ("!" if firm else "?") + plain(short), []
     for a, b in names(text):
         if inside(a, b):
             continue
         left, right = around(text, a, b)
-        yield "name", text[a:b], a, b, left, right, [*name_parts(text[a:b])], False, ""
+        yield "name", text[a:b], a, b, left, right, [*name_parts(text[a:b])], False, "", []
 
 
 def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -310,61 +341,71 @@ def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def score_graph(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) with their scores: the pattern-instance graph, scored in turn."""
-    spelled = found.where("kind = 'email' and size(inst) = 2").select(F.array_sort("inst").alias("pair")).distinct()
-    known = spelled.withColumn("spelled", F.lit(True))
-    rows = found.where("kind != 'email'").withColumn("pair", F.when(F.col("kind") == "name", F.array_sort("inst")))
-    rows = rows.join(known, "pair", "left").withColumn("seed", F.col("seed") | F.coalesce("spelled", F.lit(False)))
+    """(patterns, instances) with their scores and ``uses``, how many candidates hold them: the pattern-instance graph, scored in turn."""
+    pattern = F.concat_ws(" _ ", "left_words", "right_word").alias("pattern")
+    spelled = found.where("kind = 'email' and size(spelled) = 2").select(F.array_sort("spelled").alias("pair")).distinct().withColumn("known", F.lit(True))
     # an address may have variants of different length; it counts once
-    rows = rows.where("kind != 'address' or town not like '?%'")
-    edges = rows.select("kind", F.concat_ws(" _ ", "left_words", "right_word").alias("pattern"), F.explode("inst").alias("node"), "seed")
-    edges = written(edges.groupBy("kind", "pattern", "node").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds")))
-    nodes = edges.groupBy("kind", "node").agg((F.sum("seeds") > 0).alias("seeded")).withColumn("score", F.col("seeded").cast("double"))
+    rows = found.where("kind != 'address' or town not like '?%'").groupBy("kind", pattern, "inst").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"))
+    names = rows.where("kind = 'name'").withColumn("pair", F.array_sort("inst")).join(spelled.hint("merge"), "pair", "left")
+    names = names.withColumn("seeds", F.when(F.col("known"), F.col("n")).otherwise(F.col("seeds")))
+    rows = rows.where("kind != 'name'").unionByName(names.select(*rows.columns))
+    edges = rows.select("kind", "pattern", F.explode("inst").alias("node"), "n", "seeds")
+    edges = written(edges.groupBy("kind", "pattern", "node").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds")))
+    total = edges.count()
+    of_nodes = edges.groupBy("kind", "node").agg((F.sum("seeds") > 0).alias("seeded"), F.count("*").alias("edges"), F.sum("n").alias("uses"))
+    nodes = written(of_nodes.withColumn("score", F.col("seeded").cast("double")))
     patterns = None
     for _ in range(rounds):
-        patterns = edges.join(nodes.select("kind", "node", "score"), ["kind", "node"]).groupBy("kind", "pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 0.2)).alias("score"), F.sum("n").alias("n")
+        known = join_split(edges, nodes.select("kind", "node", "score", "edges"), ("kind", "node"), "edges", total)
+        patterns = written(
+            known.groupBy("kind", "pattern").agg(
+                (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 0.2)).alias("score"), F.sum("n").alias("uses"), F.count("*").alias("edges")
+            )
         )
-        by_pattern = edges.join(patterns.select("kind", "pattern", F.col("score").alias("p")), ["kind", "pattern"])
+        by_pattern = join_split(edges, patterns.select("kind", "pattern", F.col("score").alias("p"), "edges"), ("kind", "pattern"), "edges", total)
         again = by_pattern.groupBy("kind", "node").agg(
-            (F.sum(F.col("n") * F.col("p")) / (F.sum("n") + 0.2)).alias("mean"), (F.sum("seeds") > 0).alias("seeded")
+            (F.sum(F.col("n") * F.col("p")) / (F.sum("n") + 0.2)).alias("mean"), (F.sum("seeds") > 0).alias("seeded"), F.count("*").alias("edges"), F.sum("n").alias("uses")
         )
         score = F.when(F.col("seeded"), 1.0).otherwise(F.least("mean", F.lit(0.95)))
-        nodes = written(again.select("kind", "node", score.alias("score")))
-    return written(patterns), nodes
+        nodes = written(again.select("kind", "node", score.alias("score"), "edges", "uses"))
+    return patterns, nodes
 
 
 def accepted(found: DataFrame, key: str) -> DataFrame:
     """``key, kind, text, at, upto, score`` of the candidates that are cases."""
     found = written(found)
     patterns, nodes = score_graph(found)
-    mail = found.where("kind = 'email'").select(key, "kind", "text", "at", "upto", F.lit(1.0).alias("score"))
-    rest = found.where("kind != 'email'").withColumns(
-        {"pattern": F.concat_ws(" _ ", "left_words", "right_word"), "n0": F.get("inst", F.lit(0)), "n1": F.coalesce(F.get("inst", F.lit(1)), F.get("inst", F.lit(0)))}
-    )
-    pats = patterns.select("kind", "pattern", F.col("score").alias("p"), F.col("n").alias("support"))
-    rest = rest.join(pats, ["kind", "pattern"], "left")
+    total = found.count()
+    first, second = F.get("inst", F.lit(0)), F.get("inst", F.lit(1))
+    body = F.regexp_replace("right_word", r"[^\p{L}]", "").isin(*BODY)
+    rest = found.select(
+        key, "kind", "text", "at", "upto", "seed", "town", body.alias("body"), F.concat_ws(" _ ", "left_words", "right_word").alias("pattern"),
+        first.alias("n0"), F.coalesce(second, first).alias("n1"),
+    )
+    pats = patterns.select("kind", "pattern", F.col("score").alias("p"), F.col("uses").alias("support"), "uses")
+    rest = written(join_split(rest, pats, ("kind", "pattern"), "uses", total, "left").drop("pattern"))
     for i in (0, 1):
-        side = nodes.select("kind", F.col("node").alias(f"n{i}"), F.col("score").alias(f"s{i}"))
-        rest = rest.join(side, ["kind", f"n{i}"], "left")
+        side = nodes.select("kind", F.col("node").alias(f"n{i}"), F.col("score").alias(f"s{i}"), "uses")
+        rest = written(join_split(rest, side, ("kind", f"n{i}"), "uses", total, "left"))
     zero = F.lit(0.0)
     low, high = F.least(F.coalesce("s0", zero), F.coalesce("s1", zero)), F.greatest(F.coalesce("s0", zero), F.coalesce("s1", zero))
     pattern = F.when(F.col("support") >= 3, F.coalesce("p", zero)).otherwise(zero)
-    body = F.regexp_replace("right_word", r"[^\p{L}]", "").isin(*BODY)
     score = (
         F.when(F.col("seed"), 1.0)
-        .when((F.col("kind") == "name") & body, 0.0)
+        .when((F.col("kind") == "name") & F.col("body"), 0.0)
         .when(F.col("kind") == "name", F.greatest(low, F.when(pattern >= SURE_PATTERN, pattern * F.greatest(high, F.lit(0.6))).otherwise(0.0)))
         .otherwise(F.greatest(F.coalesce("s0", zero), F.when(pattern >= SURE_PATTERN, pattern).otherwise(0.0)))
     )
-    towns = found.where("town like '!%'").groupBy(F.substring("town", 2, 200).alias("name")).agg(F.count("*").alias("n_town"))
-    rest = rest.withColumns({"score": score, "name": F.substring("town", 2, 200)}).where(F.col("score") >= LEAST_SCORE)
-    rest = rest.join(towns.where("n_town >= 2").select("name", F.lit(True).alias("town_known")), "name", "left")
-    firm = (F.col("kind") != "address") | F.coalesce("town_known", F.lit(False)) | F.col("town").startswith("!") | (F.col("town") == "?")
+    town = F.substring("town", 2, 200_000_000).alias("name")
+    towns = found.where("kind = 'address'").groupBy(town).agg(F.count("*").alias("uses"), F.count_if(F.col("town").startswith("!")).alias("n_town"))
+    rest = rest.withColumn("score", score).where(F.col("score") >= LEAST_SCORE)
+    places = written(rest.where("kind = 'address'").select(key, "kind", "text", "at", "upto", "score", "town", town))
+    places = join_split(places, towns.where("n_town >= 2").select("name", F.lit(True).alias("town_known"), "uses"), ("name",), "uses", total, "left")
+    firm = F.coalesce("town_known", F.lit(False)) | F.col("town").startswith("!") | (F.col("town") == "?")
     # no variant of the town known anywhere: the shortest one, below all others
-    rest = rest.withColumn("score", F.when(firm, F.col("score")).otherwise(0.4 - F.length("text") / 1000))
-    every = mail.unionByName(rest.select(key, "kind", "text", "at", "upto", "score"))
-    return _longest(every, key)
+    places = places.withColumn("score", F.when(firm, F.col("score")).otherwise(0.4 - F.length("text") / 1000))
+    columns = [key, "kind", "text", "at", "upto", "score"]
+    return _longest(rest.where("kind != 'address'").select(*columns).unionByName(places.select(*columns)), key)
 
 
 def _longest(found: DataFrame, key: str) -> DataFrame:
@@ -379,10 +420,13 @@ def _longest(found: DataFrame, key: str) -> DataFrame:
         for b in batches:
             out = []
             for k, spans in zip(b[key], b["spans"], strict=True):
-                taken: list[tuple[int, int]] = []
+                starts: list[int] = []  # of the spans taken, in order
+                ends: list[int] = []
                 for x in sorted(spans, key=lambda x: (-x["score"], x["at"] - x["upto"], x["kind"], x["at"])):
-                    if all(x["upto"] <= a or z <= x["at"] for a, z in taken):
-                        taken.append((x["at"], x["upto"]))
+                    i = bisect_left(starts, x["upto"])
+                    if not i or ends[i - 1] <= x["at"]:
+                        starts.insert(i, x["at"])
+                        ends.insert(i, x["upto"])
                         out.append((k, x["kind"], x["text"], x["at"], x["upto"], x["score"]))
             yield pd.DataFrame(out, columns=[key, "kind", "text", "at", "upto", "score"])
 

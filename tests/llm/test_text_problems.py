@@ -161,6 +161,22 @@ def test_candidates():
     assert "Olga Yarrowmond" in kinds["name"] and not any("Prize" in n for n in kinds["name"])
 
 
+def test_nothing_is_cut():
+    domain = ".".join(f"label{i}" for i in range(30)) + ".example"
+    local = "a" * 40 + "." + "b" * 80
+    street = "Straße" + "langer" * 30
+    text = f"Write to x@{domain} or {local}@y.example. Adresse: {street} 12, 01234 Ort. Signed by {'Aa' * 60} {'Bb' * 60}, who left."
+    got = {(k, t) for k, t, *_ in pi.candidates(text)}
+    assert ("email", f"x@{domain}") in got and ("email", f"{local}@y.example") in got and ("name", f"{'Aa' * 60} {'Bb' * 60}") in got
+    assert ("address", f"{street} 12, 01234 Ort") in got
+    assert pi._words_around("a b\nc dd 12 e\nf", 9, 11, 1) == (6, 13) and pi._words_around("12 e", 0, 2, 1) == (0, 4)
+
+
+def test_names_in_any_alphabet_with_capitals():
+    for name in ("Γιάννης Παπαδόπουλος", "Անի Պետրոսյան", "Łukasz Żółć", "Иван Петров"):
+        assert ("name", name) in {(k, t) for k, t, *_ in pi.candidates(f"signed by {name} today")}
+
+
 def test_names_in_long_sequences():
     names = lambda t: {t[a:b] for a, b in pi.names(t)}
     assert {"Anna Meyer", "Bob Smith", "Carl Jones"} <= names("Anna Meyer, Bob Smith, Carl Jones wrote this.")
