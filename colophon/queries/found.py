@@ -20,6 +20,9 @@ WORK = {
 }
 
 
+MOST_RENAMES = 10_000
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return rt.parse_records(table(spark, d, RAW), "line_id", "raw_line", RECORD, counts=["times_cited"], lists=["concepts"])
 
@@ -62,9 +65,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _approved(spark: SparkSession, d: str) -> dict[str, str]:
-    """Renames found, as field -> target column. Header names, so a few dozen however long the table is."""
+    """Renames found, as field -> target column. Header names, so a few dozen however long the table is; more than ``MOST_RENAMES`` are refused."""
     seen = p7_found(spark, d).where(F.col("change_kind") == "renamed").groupBy("column_name", "new_name").count()
-    rows = seen.orderBy(F.desc("count"), "column_name", "new_name").limit(10_000).collect()
+    rows = seen.orderBy(F.desc("count"), "column_name", "new_name").limit(MOST_RENAMES + 1).collect()
+    if len(rows) > MOST_RENAMES:
+        raise ValueError(f"more than {MOST_RENAMES} different renames")
     out: dict[str, str] = {c: c for c in WORK}
     for _ in WORK:
         for r in rows:
