@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions.identifiers import is_missing
@@ -161,6 +161,15 @@ def score_formatting(authors: Column) -> Column:
     return F.when(F.size(names) == 0, 1).otherwise(F.bround(mean).cast("int"))
 
 
+def author_scores(df: DataFrame, keep: Sequence[str], creator: str, names: str, bodies: str, expected: str) -> DataFrame:
+    """``keep`` and the four scores of a record's authors: ``identification, separation, classification, formatting``."""
+    c = F.col
+    return df.select(
+        *keep, score_identification(c(creator), c(names)).alias("identification"), score_separation(c(names), c(expected)).alias("separation"),
+        score_classification(c(creator), c(names), c(bodies)).alias("classification"), score_formatting(c(names)).alias("formatting"),
+    )
+
+
 def overall(scores: dict[str, Column]) -> tuple[Column, Column]:
     """(weighted score, verdict)."""
     total = sum((scores[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))

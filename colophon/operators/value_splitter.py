@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.operators.record_tokenizer import literal_items
+from colophon.session import spread
 
 #: Begins a placeholder where a digit follows; in the cell's own text, an ``e`` is put after it first, so no text can be taken for one.
 MARK, OWN = "\ue000", "\ue000e"
@@ -114,6 +115,7 @@ def _one_comma(cell: Column) -> Column:
 def _cells(df: DataFrame, key: str, fields: Sequence[str], codes: Sequence[str], whole: Sequence[str]) -> DataFrame:
     """One row per cell: ``key, _field, _code, _cell``. The table is read once for all its fields."""
     entries = [F.struct(F.lit(f).alias("_field"), F.lit(f in codes).alias("_code"), F.col(f).alias("_cell")) for f in dict.fromkeys((*fields, *codes))]
+    df = spread(df.select(*dict.fromkeys((key, *fields, *codes))))
     rows = df.select(F.col(key).alias(key), F.explode(F.array(*entries)).alias("_f")).select(key, "_f._field", "_f._code", "_f._cell")
     rows = rows.where(F.col("_cell").isNotNull())
     return rows.where(~F.trim("_cell").isin(*whole)) if whole else rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colophon.functions import identifiers as fi
 from colophon.functions import measures as fm
 from colophon.functions import texts as ft
+from colophon.functions.countries import with_country_code
 from colophon.operators import documents as od
 from colophon.operators import profiling as op
 from colophon.operators import ranking as orank
@@ -18,7 +19,8 @@ from colophon.plans.variables import analysis_table
 from colophon.queries import reference as ref
 from colophon.session import shared_dir, table
 from colophon.sources.databases import catalog
-from colophon.sources.sinks import write_verified
+from colophon.sources.files import read_indicator
+from colophon.sources.sinks import Files, write_verified
 
 QUERIES: dict[str, ref.Query] = {}
 SQL: dict[str, str] = {}
@@ -139,10 +141,20 @@ def s22(s, d):
     return s.read.schema("event_id bigint, event_type string, year int").json(path)
 
 
-@query("s24_static_lookup", "select n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def indicator_file(s: SparkSession, d: str) -> str:
+    """A file as of an indicator's download, one row per country and year: here the mean rank of a country's institutions, growing by year."""
+    path = scratch(s, "indicator")
+    by = table(s, d, "institution_ranking").where("country is not null").groupBy("country").agg(F.avg("global_rank").alias("v"))
+    years = F.explode(F.sequence(F.lit(2020), F.lit(2023))).alias("year")
+    rows = with_country_code(by, "country", "iso2c").select("iso2c", "country", years, "v").withColumn("v", F.col("v") + F.col("year") - 2020)
+    rows.withColumnRenamed("v", "XX.MEAN.RANK").write.csv(path, header=True)
+    return path
+
+
+@query("s24_indicator", f"select l.code as iso2c, country, 2022 as year, round(avg(global_rank) + 2, 6) as value from institution_ranking join {ref.ISO2_ROWS} on l.name = country group by all")
 def s24(s, d):
-    """A small fixed table as look-up; the planner broadcasts it by its size."""
-    return table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    """One indicator of one year by country code."""
+    return read_indicator(s, indicator_file(s, d), "XX.MEAN.RANK", 2022).withColumn("value", F.round("value", 6))
 
 
 @query("k01_parquet_snappy", RANKING)
@@ -169,6 +181,27 @@ def k05(s, d):
     return s.read.schema(df.schema).options(**options).csv(path)
 
 
+@query("k02_union_csv", f"""select id, title, nullif(issn, '') as issn, part from (select nullif(id, '') as id, nullif(title, '') as title, null as issn, 'records' as part from dimension_merged union all select null, nullif(title, ''), issn, 'journals' from {SJR})""")
+def k02(s, d):
+    """Tables of differing columns as one CSV."""
+    return _csv(s, ref.union_by_name(s, d).select("id", "title", "issn", "part"), ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+
+
+@query("k04_verified_parquet", "select rec_no, title, loaded_at from dimension_merged")
+def k04(s, d):
+    """Zstd Parquet, put in place once every cell read back is the same."""
+    return s.read.parquet(write_verified(merged(s, d).select("rec_no", "title", "loaded_at"), scratch(s, "verified"), compression="zstd"))
+
+
+@query("k07_stats_json", "select count(*) as total_rows, count(distinct source_file) as total_files, min(year) as first_year from dimension_merged")
+def k07(s, d):
+    """Statistics of a run as one JSON document."""
+    stats = merged(s, d).agg(F.count("*").alias("total_rows"), F.count_distinct("source_file").alias("total_files"), F.min("year").alias("first_year")).first()
+    path = scratch(s, "stats") + ".json"
+    Files(s, path).write_text(json.dumps(stats.asDict(), indent=2), path)
+    return s.read.json(path, schema="total_rows bigint, total_files bigint, first_year string", multiLine=True)
+
+
 # -- reshaping ---------------------------------------------------------------------------------------------------------------
 
 
@@ -216,6 +249,21 @@ def p15(s, d):
     return merged(s, d).select("rec_no", F.explode(F.split("research_org_types", "; ")).alias("kind"))
 
 
+@query("p_unnest", "select rec_no, unnest(regexp_extract_all(category_for, 'QQid'': ''([0-9]+)', 1)) as category_id from dimension_merged".replace("QQ", "''"))
+def p_unnest(s, d):
+    """Elements of a parsed list; a record without any drops out."""
+    parsed = ft.struct_list(F.col("category_for"), "id string, name string")
+    return merged(s, d).select("rec_no", F.explode(parsed).alias("c")).select("rec_no", F.col("c.id").alias("category_id"))
+
+
+@query("p_relocate", f"select title, year, row_no, sourceid from {SJR}")
+def p_relocate(s, d):
+    """Named columns to the front, all others after them in their order."""
+    df = journals(s, d).select("row_no", "sourceid", "title", "year")
+    front = ["title", "year"]
+    return df.select(*front, *[c for c in df.columns if c not in front])
+
+
 @query("p18_row_identity", f"select count(distinct (sourceid, title, year)) as n_identities from {SJR}")
 def p18(s, d):
     return journals(s, d).select(F.struct("sourceid", "title", "year").alias("k")).distinct().agg(F.count("*").alias("n_identities"))
@@ -289,9 +337,13 @@ def j06(s, d):
     return merged(s, d).join(one, "journal_title", "left").select("rec_no", "n")
 
 
-@query("j11_left_join_lookup", "select c_custkey, n_name from customer left join nation on n_nationkey = c_nationkey")
+@query("j11_country_indicator", f"""select c.country, c.n_journals, i.value from (select country, count(*) as n_journals from {SJR} where country is not null group by country) c left join {ref.ISO2_ROWS} on l.name = c.country
+ left join (select k.code, round(avg(global_rank) + 2, 6) as value from institution_ranking join {ref.ISO2_ROWS.replace(' l(', ' k(')} on k.name = country group by k.code) i on i.code = l.code""")
 def j11(s, d):
-    return table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    """Figures per country, with the indicator of the same country code where there is one."""
+    by = journals(s, d).where("country is not null").groupBy("country").agg(F.count("*").alias("n_journals"))
+    values = read_indicator(s, indicator_file(s, d), "XX.MEAN.RANK", 2022).select(F.col("iso2c").alias("iso2"), F.round("value", 6).alias("value"))
+    return with_country_code(by, "country").join(values, "iso2", "left").select("country", "n_journals", "value")
 
 
 @query("j14_capped_totals", "select n_name, least(count(c_custkey), 50) as shown from nation left join customer on n_nationkey = c_nationkey group by n_name")

@@ -36,13 +36,18 @@ def _rows(data: bytes, backslash: bool) -> Iterator[list[str]]:
     yield from csv.reader(io.StringIO(text, newline=""), escapechar="\\" if backslash else None, doublequote=True)
 
 
+def _stream(path: str, backslash: bool) -> Iterator[list[str]]:
+    """Records of a file, read as they are asked for."""
+    csv.field_size_limit(2**31 - 1)
+    with open(path, encoding="utf-8-sig", errors="replace", newline="") as f:
+        yield from csv.reader(f, escapechar="\\" if backslash else None, doublequote=True)
+
+
 def headers(folder: str, backslash: bool = True) -> tuple[list[str], bool, list[str], dict[str, list[str]]]:
     """(sorted union of columns, all alike, files that differ from the first, columns by file). Reads first records only."""
     by: dict[str, list[str]] = {}
     for path in find_files(folder):
-        with open(path, "rb") as f:
-            head = f.read(1 << 20)
-        row = next(_rows(head, backslash), [])
+        row = next(_stream(path, backslash), [])
         by[path] = [c.strip() for c in row if c.strip()]
     first = next(iter(by.values()), [])
     differ = [p for p, c in by.items() if c != first or not c]
@@ -128,7 +133,7 @@ def read_fixed(spark: SparkSession, path: str, schema: str, sep: str = ";") -> D
 
 def parity(spark: SparkSession, folder: str, *stages: tuple[str, DataFrame]) -> DataFrame:
     """``stage, n_rows``: rows of every file, of all files, and of the later stages."""
-    rows = [(os.path.relpath(p, folder), sum(1 for r in _rows(Path(p).read_bytes(), True) if r) - 1) for p in find_files(folder)]
+    rows = [(os.path.relpath(p, folder), sum(1 for r in _stream(p, True) if r) - 1) for p in find_files(folder)]
     rows = [(n, max(0, k)) for n, k in rows]
     rows.append(("all files", sum(k for _, k in rows)))
     out = spark.createDataFrame(rows, "stage string, n_rows bigint")

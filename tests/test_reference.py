@@ -128,7 +128,16 @@ def test_xml(spark):
 
 def test_inverted_index(spark):
     df = spark.sql("select map('b', array(1, 4), 'a', array(0, 1)) as m")
-    assert df.select(od.abstract_of_index(F.col("m"))).first()[0] == "a b b"
+    assert od.with_abstract(df, "m").first()["abstract"] == "a b b"
+    long = spark.sql("select map('w', sequence(0, 29999)) as m, 'clash' as w")
+    assert od.with_abstract(long, "m", "text").first()["text"] == " ".join(["w"] * 30_000)
+    assert od.with_abstract(spark.sql("select cast(null as map<string, array<int>>) as m"), "m").first()["abstract"] is None
+
+
+def test_paths_through_lists(spark):
+    docs = ['{"a": [{"b": 1}, {"b": 2}, {"c": 3}]}', '{"a": {"b": "x"}}', '{"a": [[{"b": [1, 2]}], {"b": "é"}]}', '{"a": []}', '{"a": {"b": {"c": true}}}', "no [json", None, "{}"]
+    got = values(spark, od.json_path(F.col("v"), "a.b"), docs)
+    assert got == ["[1, 2, null]", "x", '[1, 2, "é"]', "[]", '{"c":true}', None, None, None]
 
 
 def test_entry(spark):
