@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.session import written
+from colophon.session import spread, written
 
 #: Code pages that UTF-8 was taken for, and pairs (written as, read as) of one-byte code pages.
 READ_AS = ("cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1254", "cp852", "iso8859-2")
@@ -533,7 +533,8 @@ def _odd(model: Model, text: str) -> bool:
 def fields_of(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``key``, ``field_name``, ``text`` of every non-empty field."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])
-    return df.select(key, F.explode(pairs).alias("f")).select(key, "f.*").where("text != ''")
+    rows = spread(df.select(*dict.fromkeys((key, *fields))))
+    return rows.select(key, F.explode(pairs).alias("f")).select(key, "f.*").where("text != ''")
 
 
 def learn(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:

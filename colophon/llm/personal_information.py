@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.session import join_split, written
+from colophon.session import join_split, spread, written
 
 ROUNDS, LEAST_SCORE, SURE_PATTERN = 4, 0.5, 0.8
 #: Words that, as the last ones before a number, say that it identifies a person.
@@ -337,7 +337,7 @@ def extract(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, *c) for k, t in zip(b[key], b[text], strict=True) for c in candidates(t)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return docs.select(key, text).where(f"`{text}` != ''").mapInPandas(run, f"`{key}` {kind}, {CANDIDATE}")
+    return spread(docs.select(key, text)).where(f"`{text}` != ''").mapInPandas(run, f"`{key}` {kind}, {CANDIDATE}")
 
 
 def score_graph(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

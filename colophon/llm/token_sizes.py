@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colophon.session import spread
+
 #: Place of the vocabulary (ranks) and how a text is cut before merging.
 VOCABULARY = os.environ.get("COLOPHON_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,7 +85,7 @@ class AfterBlank(dict):
 
 def token_sizes(df: DataFrame, text: str, path: str = VOCABULARY, out: str = "n_tokens", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns and the number of tokens of ``text``, which doesn't leave the worker."""
-    rows = df.select(*keep, F.col(text).alias("_text"))
+    rows = spread(df.select(*keep, F.col(text).alias("_text")))
     schema = f"{df.select(*keep)._jdf.schema().toDDL()}, `{out}` bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
