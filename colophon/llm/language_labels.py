@@ -85,9 +85,14 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         df = np.zeros(1 << BITS, np.int64)
         n = 0
         for b in batches:
-            ids, sizes = grams(b["text"].tolist())
-            for part in np.split(ids, np.cumsum(sizes)[:-1]):
-                df[np.unique(part)] += 1
+            texts = b["text"].tolist()
+            for a in range(0, len(texts), 512):
+                ids, sizes = grams(texts[a : a + 512])
+                # each n-gram of each text once: one sort for many texts
+                keys = np.sort(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << BITS | ids)
+                first = np.ones(len(keys), bool)
+                first[1:] = keys[1:] != keys[:-1]
+                df += np.bincount(keys[first] & ((1 << BITS) - 1), minlength=1 << BITS)
             n += len(b)
         hit = np.flatnonzero(df)
         yield pd.DataFrame({"gram": np.append(hit, -1), "n": np.append(df[hit], n)})
